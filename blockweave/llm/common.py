@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_path, shared_dir, written
+
+__all__ = ["BROADCAST_BYTES", "hinted", "new_path", "shared_dir", "small", "table", "written"]
+
 #: A side is broadcast only when its counted rows times its row width stay under this many bytes.
 BROADCAST_BYTES = 16 << 20
 
@@ -17,36 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a fresh local one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="blockweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: it cuts the lineage and outlives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes what ``written`` wrote for ``df``; call it only after everything that reads ``df`` has run."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> bool:
     """Whether ``df`` (cheap to count) fits ``BROADCAST_BYTES``."""
     return (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES

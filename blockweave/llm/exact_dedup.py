@@ -222,8 +222,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     Rows that share text and doc_id are all kept but one.
     """
     groups = exact_groups(docs.select("doc_id", "text"))
-    gone = groups.filter("not kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = written(groups.filter("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+    left = docs.join(hinted(gone, 16), F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if twice.isEmpty():
         return left

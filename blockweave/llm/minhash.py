@@ -276,5 +276,5 @@ def _swept(spread: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id; all columns stay."""
-    gone = near_groups(docs.select("doc_id", "text"), banding).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = written(near_groups(docs.select("doc_id", "text"), banding).filter("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+    return docs.join(hinted(gone, 16), F.col("doc_id") == F.col("__gone"), "left_anti")
