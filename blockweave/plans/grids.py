@@ -29,7 +29,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """
     own = cells(spark, sf_dir)
     n = load(spark, sf_dir, "embeddings").agg(F.expr("count(*) div 20").alias("n"))
-    own = own.crossJoin(F.broadcast(n)).filter("image_id < n")  # one row
+    own = own.withColumn("n", n.scalar()).filter("image_id < n")
     name = lambda kind, image: F.concat(F.lit(f"{kind}-"), image.cast("string")).alias("pair_id")
     comps = F.array("coeff").alias("comps")
     image = F.col("image_id")
