@@ -1,4 +1,4 @@
-"""Makes this package importable for the Python workers of any session."""
+"""Prepares a session: the package on the executors, Arrow batches of bounded memory."""
 
 from __future__ import annotations
 
@@ -8,11 +8,16 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch where the session has Spark's own default: texts are long, and a batch is held twice.
+ARROW_ROWS = 1000
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors through Spark, once an application."""
+    """Sends the package's sources to the executors through Spark, once an application, and bounds Arrow batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
