@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import give_back
+
 #: Pre-tokens that a worker's memo holds; it starts anew when full.
-MEMO = 300_000
+MEMO = 200_000
 #: Text characters put into one output batch.
-OUT_CHARS = 4 << 20
+OUT_CHARS = 1 << 20
 
 
 class MinimalPerfectHash:
@@ -212,6 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
                     cols += [_lists(ids, pa.int32())] + ([pa.array(back, pa.binary())] if decoded else [])
                     yield pa.RecordBatch.from_arrays(cols, [*others, "ids", *["bytes"] * decoded])
                     begin, chars, ids, back = at + 1, 0, [], []
+        give_back()
 
     kept = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).cast("string").alias("__text"))
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "ids array<int>", *["bytes binary"] * decoded])

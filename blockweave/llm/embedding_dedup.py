@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, roots_local
 from .common import written
-from .components import components, roots_local
 
 #: Vectors in a tile, on average.
 TILE = 2048

@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, roots_local
 from .common import hinted, written
-from .components import components, roots_local
-from .textkit import U, mix, shingle_sets
+from .textkit import U, give_back, mix, shingle_sets
 
 #: Members up to which a bucket's pairs are listed.
 SMALL = 8
@@ -142,6 +142,7 @@ def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
                 starts = np.concatenate(([0], np.cumsum(has * banding.bands))).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(starts), pa.array(keys[has].reshape(-1), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), bands.cast(kind)], ["doc_id", "n", "digest", "bands"])
+        give_back()
 
     return _id_and_text(docs).mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>")
 
@@ -154,6 +155,7 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
             for a, b, s, off in shingle_sets(batch.column(1), words):
                 raw = [s[i:j].tobytes() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary())], ["doc_id", "shingles"])
+        give_back()
 
     return _id_and_text(docs).mapInArrow(run, "doc_id long, shingles binary")
 

@@ -8,13 +8,16 @@ polynomial over its bytes (prefix sums, so each byte costs a few vector operatio
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
 #: Text bytes handled at a time; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -27,6 +30,13 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system; workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = x ^ (x >> U(30))
