@@ -1,6 +1,6 @@
 """Toxicity scores of texts restored by a noisy-channel decoder.
 
-1. A character bigram model is counted over all texts.
+1. A character trigram model is counted over all texts.
 2. Words that may be disguised (symbols or digits that stand for letters, letters set apart, repeated
    letters, letters spaced out over words) become character lattices: every position offers the letters it
    may stand for, or nothing, each at a cost. Viterbi decoding under the character model picks the restored
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textkit import BASE, BASE_INV, BYTE, SPACE, U, _power, bytes_of, chunks, mix
+from .textkit import BASE, BASE_INV, BYTE, SPACE, U, _power, bytes_of, chunks, give_back, mix
 
 #: Letters that a symbol may stand for, beside itself being a mere mark.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "%": "o", "&": "a"}
@@ -59,29 +59,42 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in STANDS_FOR]] = True
 
 
-def bigrams(data: np.ndarray) -> np.ndarray:
-    """Counts of successive character classes (CLASSES x CLASSES) in a buffer of text."""
+def trigrams(data: np.ndarray) -> np.ndarray:
+    """Counts of three successive character classes (CLASSES cubed) in a buffer of text; a word's edge counts twice."""
     c = CLASS[data[LETTER[data] | SPACE[data]]]
-    return np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES) if len(c) > 1 else np.zeros(CLASSES * CLASSES, np.int64)
+    total = np.zeros(CLASSES**3, np.int64)
+    if len(c) > 2:
+        total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+        # what follows an edge has the edge before that, too
+        heads = c[1:][c[:-1] == 0]
+        total[:CLASSES] += np.bincount(heads, minlength=CLASSES)
+    return total
+
+
+def smoothed(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of a class after two others: counts of one, two and three classes, interpolated."""
+    three = counts.reshape(CLASSES, CLASSES, CLASSES).astype(np.float64)
+    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
+    share = lambda x: x / np.maximum(x.sum(axis=-1, keepdims=True), 1)
+    return np.log(0.8 * share(three) + 0.15 * share(two)[None] + 0.04 * share(one)[None, None] + 0.01 / CLASSES)
 
 
 def character_model(texts: DataFrame) -> np.ndarray:
-    """Log probabilities of a character class after another, counted over all of ``texts`` (text)."""
+    """Log probabilities of a character class after two others, counted over all of ``texts`` (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES * CLASSES, np.int64)
+        total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
             data, off = bytes_of(batch.column(0))
             for a, b in chunks(off):
-                total += bigrams(data[off[a] : off[b]])
+                total += trigrams(data[off[a] : off[b]])
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["three", "n"])
 
-    counts = np.ones(CLASSES * CLASSES)
-    for r in texts.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # CLASSES squared rows
-        counts[r["pair"]] += r["n"]
-    counts = counts.reshape(CLASSES, CLASSES)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    counts = np.zeros(CLASSES**3)
+    for r in texts.select(F.col("text").cast("string")).mapInArrow(run, "three long, n long").groupBy("three").agg(F.sum("n").alias("n")).collect():  # CLASSES cubed rows at most
+        counts[r["three"]] += r["n"]
+    return smoothed(counts)
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -101,7 +114,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restored(words: list[str], model: np.ndarray, at_once: int = 1 << 17) -> list[str]:
+def restored(words: list[str], model: np.ndarray, at_once: int = 1 << 14) -> list[str]:
     """The most likely plain word behind each of ``words``: Viterbi over their lattices, many words together."""
     out = [""] * len(words)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
@@ -129,42 +142,40 @@ def _viterbi(lattices: list, longest: int, model: np.ndarray) -> list[str]:
                 code[i, p, o] = -1 if not ch else ord(ch) - 96 if "a" <= ch <= "z" else 27
                 cost[i, p, o] = c
     code[code[:, :, 0] == -2, 0], cost[cost[:, :, 0] == -np.inf, 0] = -1, 0.0  # past the end: nothing, free
-    score = np.full((n, CLASSES), -np.inf)
-    score[:, 0] = 0
-    i = np.arange(n)
-    came = np.empty((longest, n, CLASSES), np.int8)
-    took = np.empty((longest, n, CLASSES), np.int8)
-    states = np.broadcast_to(np.arange(CLASSES, dtype=np.int8), (n, CLASSES))
-    into = np.ascontiguousarray(model.T)
+    # a state is the last two letters; score[i, b, c] is the best path's that ends with them
+    score = np.full((n, CLASSES, CLASSES), -np.inf)
+    score[:, 0, 0] = 0
+    came = np.zeros((longest, n, CLASSES, CLASSES), np.int8)
+    took = np.full((longest, n, CLASSES, CLASSES), -1, np.int8)
     for p in range(longest):
-        new = np.full((n, CLASSES), -np.inf)
-        came[p], took[p] = states, -1
+        new = np.full_like(score, -np.inf)
         for o in range(width):
             c = code[:, p, o]
-            drop = c == -1
-            if drop.any():
-                stay = score + cost[:, p, o][:, None]
-                better = drop[:, None] & (stay > new)
-                new[better] = stay[better]
-                came[p][better] = states[better]
-                took[p][better] = o
+            drop = np.flatnonzero(c == -1)
+            if len(drop):
+                stay = score[drop] + cost[drop, p, o][:, None, None]
+                better = stay > new[drop]
+                new[drop] = np.where(better, stay, new[drop])
+                took[p][drop] = np.where(better, np.int8(o), took[p][drop])
             emit = np.flatnonzero(c > 0)
             if len(emit):
                 to = c[emit]
-                paths = score[emit] + into[to]
+                paths = score[emit] + model[:, :, to].transpose(2, 0, 1)  # word, before last, last
                 best = paths.argmax(axis=1)
-                value = paths[np.arange(len(emit)), best] + cost[emit, p, o]
-                better = value > new[emit, to]
-                e, t = emit[better], to[better]
-                new[e, t] = value[better]
-                came[p, e, t] = best[better]
-                took[p, e, t] = o
+                value = np.take_along_axis(paths, best[:, None, :], 1)[:, 0] + cost[emit, p, o][:, None]
+                better = value > new[emit, :, to]
+                new[emit, :, to] = np.where(better, value, new[emit, :, to])
+                came[p][emit, :, to] = np.where(better, best.astype(np.int8), came[p][emit, :, to])
+                took[p][emit, :, to] = np.where(better, np.int8(o), took[p][emit, :, to])
         score = new
-    state = (score + into[0]).argmax(axis=1)
+    ends = (score + model[:, :, 0]).reshape(n, -1).argmax(axis=1)
+    b, c = ends // CLASSES, ends % CLASSES
+    i = np.arange(n)
     picks = np.empty((n, longest), np.int8)
     for p in range(longest - 1, -1, -1):
-        picks[:, p] = took[p, i, state]
-        state = came[p, i, state].astype(np.int64)
+        picks[:, p] = took[p, i, b, c]
+        dropped = code[i, p, picks[:, p]] == -1
+        b, c = np.where(dropped, b, came[p, i, b, c]), np.where(dropped, c, b)
     return ["".join(x[p][picks[k, p]][0] for p in range(len(x))) for k, x in enumerate(lattices)]
 
 
@@ -435,6 +446,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             data, off = bytes_of(batch.column(1))
             s = [shipped.value.scores(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in chunks(off)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(s) if s else np.empty(0), pa.float64())], ["doc_id", "score"])
+        give_back()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -456,5 +468,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
             for a, b in chunks(off):
                 keep = shipped.value.scores(data[off[a] : off[b]], off[a : b + 1] - off[a]) < 0.5
                 yield batch.slice(a, b - a).filter(pa.array(keep))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
