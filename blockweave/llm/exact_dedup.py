@@ -147,8 +147,8 @@ def _filters(bits: int):
 
         def packed():
             slab = (values >> np.uint64(rest)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
-            cuts = np.flatnonzero(np.r_[True, slab[1:] != slab[:-1]]) if len(slab) else slab
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slab)], strict=True):
+            cuts = [0, *(np.flatnonzero(slab[1:] != slab[:-1]) + 1).tolist(), len(slab)] if len(slab) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
                 own = values[a:b] & ((np.uint64(1) << np.uint64(rest)) - np.uint64(1)) if bits else values[a:b]
                 q = slots_for(b - a)
                 yield int(slab[a]), CountingQuotientFilter.build(own, counts[a:b], rest - q, q).to_bytes()
