@@ -217,7 +217,8 @@ def near_groups(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     extra = copies.filter("doc_id <> rep").select("doc_id")
     reps = sig.filter("n > 0 and doc_id is not null").join(hinted(extra, 16), "doc_id", "left_anti")
     entries = written(reps.select("doc_id", "n", F.explode("bands").alias("band")), "bands")
-    buckets = entries.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).filter("size > 1")
+    # sums by band are written before they are joined: a join right above its own aggregation can't be split at a hot band
+    buckets = written(entries.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).filter("size > 1"), "sizes")
     shared = written(entries.join(buckets, "band").select("band", "doc_id", "n", "size", "hub"), "buckets")
 
     cands = written(shared.select("doc_id").distinct(), "candidates")
@@ -236,8 +237,9 @@ def near_groups(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
         # a hub drawn at random for each bucket, among buckets that span several components
         spread = written(_spanning(large, labels), "spanning")
         if not spread.isEmpty():
-            drawn = spread.groupBy("band").agg(F.min(F.xxhash64("doc_id", "band")).alias("least"))
+            drawn = written(spread.groupBy("band").agg(F.min(F.xxhash64("doc_id", "band")).alias("least")), "drawn")
             drawn = spread.withColumn("least", F.xxhash64("doc_id", "band")).join(drawn, ["band", "least"]).select("band", F.col("doc_id").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"))
+            drawn = written(drawn, "drawn")
             more = spread.join(drawn, "band").filter("label <> lv").filter(fits)
             more = written(verified(more.select(F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v")).distinct(), sets, percent), "links")
             links = links.union(more)
@@ -257,7 +259,8 @@ def _spanning(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """The bucket entries (band, doc_id, n) with their label, of buckets that hold more than one label."""
     known = entries.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     known = known.select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
-    wide = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+    known = written(known, "labelled")
+    wide = written(known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band"), "wide")
     return known.join(wide, "band", "left_semi")
 
 
@@ -265,6 +268,7 @@ def _swept(spread: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different labels within the buckets ``spread``, by tiles of bounded size."""
     sizes = spread.groupBy("band", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("band").agg(F.sum("c").alias("size"), F.max_by("label", "c").alias("main"), F.max("c").alias("most"))
+    main = written(main, "main")
     known = spread.join(main, "band").withColumn("is_rest", F.col("label") != F.col("main"))
     rows = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
     cols = F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("most")) / TILE)).cast("int")
