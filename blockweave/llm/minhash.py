@@ -212,7 +212,7 @@ def near_groups(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text)."""
     percent = banding.percent
     sig = written(signatures(docs, banding), "signatures")
-    classes = sig.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = written(sig.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     copies = written(sig.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     extra = copies.filter("doc_id <> rep").select("doc_id")
     reps = sig.filter("n > 0 and doc_id is not null").join(hinted(extra, 16), "doc_id", "left_anti")
