@@ -125,7 +125,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         out[np.repeat(out_off[:-1][long], reps) + at] = s[np.repeat(first[:-1][long], reps) + at]
     for r in np.flatnonzero((count > 0) & (count < k)):
         w = h[first[r] : first[r + 1]]
-        out[out_off[r]] = mix(np.array([(w * COEF[: len(w)]).sum(dtype=np.uint64) + U(len(w)) * COEF[40]], np.uint64))[0]
+        out[out_off[r]] = mix((w * COEF[: len(w)]).sum(dtype=np.uint64, keepdims=True) + COEF[40:41] * U(len(w)))[0]
     return out, out_off
 
 
