@@ -15,12 +15,13 @@ def inverted_index(features: DataFrame) -> DataFrame:
     return features.select("hash", "image_id").distinct()
 
 
-def vote_scores(targets: DataFrame, bases: DataFrame, exclude_same: bool = True) -> DataFrame:
+def vote_scores(targets: DataFrame, bases: DataFrame, exclude_same: bool = True, distinct: bool = False) -> DataFrame:
     """(target_id, base_id, votes): distinct hashes that a target shares with a base; any transform matches any.
 
-    ``exclude_same``: an image is no base of itself. The empty id excludes nothing.
+    ``exclude_same``: an image is no base of itself. The empty id excludes nothing. ``distinct``: the targets'
+    (hash, image_id) are known to be distinct, so they need no shuffle of their own.
     """
-    t = inverted_index(targets).select("hash", F.col("image_id").alias("target_id"))
+    t = (targets if distinct else inverted_index(targets)).select("hash", F.col("image_id").alias("target_id"))
     b = inverted_index(bases).select("hash", F.col("image_id").alias("base_id"))
     both = t.join(b, "hash")
     if exclude_same:

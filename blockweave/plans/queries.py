@@ -121,7 +121,7 @@ def _trigrams(df: DataFrame, key: str) -> DataFrame:
 )
 def document_passage_votes(spark, sf_dir):
     docs, items = _trigrams(load(spark, sf_dir, "documents"), "doc_id"), _trigrams(load(spark, sf_dir, "benchmark"), "item_id")
-    return votes.best_base(votes.vote_scores(docs, items, exclude_same=False)).filter("votes >= 2")
+    return votes.best_base(votes.vote_scores(docs, items, exclude_same=False, distinct=True)).filter("votes >= 2")
 
 
 # ---- comparing and routing
