@@ -83,6 +83,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_mixing": r"""
+        with recursive d as (select doc_id, coalesce(source, '') as source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as n from documents),
+        s as (select source, sum(n)::bigint as tokens from d group by 1),
+        p as (select source, tokens, total, tokens::double / total as share from s, (select sum(tokens)::bigint as total from s) where tokens > 0),
+        b as (
+            select 0 as i, 0.0::double as lo, 1.0::double as hi
+            union all
+            select i + 1, case when h >= least_h then mid else lo end, case when h >= least_h then hi else mid end from (
+                select i, lo, hi, (lo + hi) / 2 as mid, ln(sum(pow(share, (lo + hi) / 2))) - sum(pow(share, (lo + hi) / 2) * ((lo + hi) / 2) * ln(share)) / sum(pow(share, (lo + hi) / 2)) as h, 0.92::double * ln(count(*)) - 1e-12 as least_h
+                from b, p where i < 60 group by i, lo, hi)),
+        a as (select case when (select -sum(share * ln(share)) >= 0.92::double * ln(count(*)) - 1e-12 from p) then 1.0::double else (select lo from b where i = 60) end as alpha),
+        w as (select source, tokens, pow(share, alpha) / (select sum(pow(share, alpha)) from p, a) as weight, total from p, a),
+        g as (select source, weight, round(weight * total)::bigint // tokens as passes, round(weight * total)::bigint % tokens as rest from w),
+        u as (select *, ('0x' || substr(md5('1|' || doc_id), 1, 15))::bigint as u, ('0x' || substr(md5('1 order|' || source), 1, 15))::bigint as o from d),
+        r as (select *, (((u >> 54) & 63) * 37 + o) % 64 as b1, (((u >> 48) & 63) * 37 + (o >> 6)) % 64 as b2, (((u >> 42) & 63) * 37 + (o >> 12)) % 64 as b3 from u),
+        c as (select *, sum(n) over (partition by source order by b1, b2, b3, u, doc_id) as upto from r)
+        select doc_id, source, n as n_tokens, round(coalesce(weight, 0.0::double), 9) as weight, b1::int as block, (coalesce(passes, 1) + coalesce((upto <= rest)::int, 0))::bigint as copies
+        from c left join g using (source)
+    """,
     "op1_minhash_dedup": r"""
         with recursive w as (
             select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
