@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import u64
-from ..operators.ordering import ranked
 from ..scratch import written
 from ..session import ship
 from ..sources import archive, engine, jpeg
@@ -136,6 +136,11 @@ def write_restored(rows: DataFrame, folder: str) -> int:
     return n
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """``files`` ranked by path."""
-    return ranked(files, "path")
+def events(scanned: DataFrame, archive_path: str | None) -> Iterator[dict]:
+    """The scan as events: start, a progress row for each file in scan order with the counters so far, done."""
+    stats = greedy.running_stats(scanned).join(scanned.select("image_id", "status", "reason", "base", "ratio"), "image_id")
+    total = scanned.count()
+    yield {"event": "start", "total_images": total}
+    for r in stats.orderBy("rank").toLocalIterator():
+        yield {"event": "progress", "total_images": total, **r.asDict()}
+    yield {"event": "done", "total_images": total, "archive": archive_path}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import u64
+from ..sources import jpeg
 
 
 def digests(files: DataFrame, content: str = "content") -> DataFrame:
@@ -44,13 +45,24 @@ def pixel_error(a: np.ndarray, b: np.ndarray) -> float:
     return float("inf") if a.shape != b.shape else float(((a.astype(np.int64) - b.astype(np.int64)) ** 2).mean())
 
 
-def inverse_dct(blocks: np.ndarray, quantisation: np.ndarray) -> np.ndarray:
-    """Samples (height x width, 0 to 255) of a component's coefficient blocks (rows x cols x 64, natural order)."""
-    x, u = np.meshgrid(np.arange(8), np.arange(8))
-    basis = np.cos((2 * x + 1) * u * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)
-    y = (blocks * quantisation).reshape(*blocks.shape[:2], 8, 8).astype(np.float64)
-    s = np.einsum("ux,rcuv,vy->rcxy", basis, y, basis)
-    return np.clip(np.rint(s + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, -1)
+def pixel_mse(a: bytes, b: bytes) -> float:
+    """Pixel error of two JPEG files."""
+    return pixel_error(jpeg.pixels(a), jpeg.pixels(b))
+
+
+def with_pixel_mse(files: DataFrame, a: str, b: str, name: str = "mse") -> DataFrame:
+    """``files`` with the pixel error of two columns of JPEG contents; null where either is missing or can't be read."""
+
+    def errors(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p, q):
+            try:
+                return pixel_mse(bytes(p), bytes(q)) if p is not None and q is not None else None
+            except (ValueError, KeyError, IndexError):
+                return None
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return files.withColumn(name, F.pandas_udf(errors, "double")(a, b))
 
 
 def strict_status(entries: DataFrame, strict: bool = True) -> DataFrame:
@@ -120,3 +132,15 @@ def preview_source(entries: DataFrame, names: DataFrame) -> DataFrame:
     own = entries.withColumn("name", F.element_at(F.split("ddct_file", "/"), -1))
     first = own.groupBy("name").agg(F.min(F.struct("target", "ddct_file", "base_file")).alias("x"))
     return names.join(first, "name").select("name", "x.*")
+
+
+def last_log(logs: DataFrame) -> DataFrame:
+    """The last row (by rank) of each output_ddct among scan rows."""
+    last = logs.groupBy("output_ddct").agg(F.max("rank").alias("rank"))
+    return logs.join(last, ["output_ddct", "rank"], "left_semi")
+
+
+def sanitised(rows: DataFrame, integers: list[str]) -> DataFrame:
+    """``rows`` for display: missing values are 0, and so are values of integer columns that are no integers."""
+    out = rows.withColumns({c: F.coalesce(F.col(c).try_cast("long"), F.lit(0).cast("long")) for c in integers})
+    return out.fillna(0)

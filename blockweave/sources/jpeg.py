@@ -59,6 +59,7 @@ class Image:
     width: int
     height: int
     components: list[Component]
+    tables: dict = field(default_factory=dict)  # quantisation by table number, natural order
 
     def luma(self) -> int:
         """Place of the luma component: the only one, else the first of id 1, else the first of the largest grid."""
@@ -165,6 +166,7 @@ def _lookup(lengths, symbols) -> np.ndarray:
 def read(data: bytes) -> Image:
     """The coefficients of a JPEG file."""
     huffman: dict[tuple[int, int], np.ndarray] = {}
+    tables: dict[int, np.ndarray] = {}
     image, progressive, restart = None, False, 0
     for m, a, b in segments(data):
         body = data[a:b]
@@ -175,6 +177,14 @@ def read(data: bytes) -> Image:
                 n = sum(lengths)
                 huffman[body[at] >> 4, body[at] & 15] = _lookup(lengths, body[at + 17 : at + 17 + n])
                 at += 17 + n
+        elif m == 0xDB:
+            at = 0
+            while at < len(body):
+                wide = body[at] >> 4
+                zigzag = np.frombuffer(body, ">u2" if wide else "u1", 64, at + 1)
+                tables[body[at] & 15] = np.zeros(64, np.int64)
+                tables[body[at] & 15][list(ZIGZAG)] = zigzag
+                at += 65 + 64 * wide
         elif m == 0xDD:
             restart = int.from_bytes(body[:2], "big")
         elif m in (0xC0, 0xC1, 0xC2):
@@ -200,6 +210,7 @@ def read(data: bytes) -> Image:
             _scan(image, body, data[b:end], huffman, restart, progressive)
     if image is None:
         raise JpegError("no frame")
+    image.tables = tables
     for c in image.components:
         natural = np.empty((c.height, c.width, 64), np.int16)
         natural[:, :, list(ZIGZAG)] = c.blocks[: c.height, : c.width]
@@ -342,6 +353,24 @@ def _segment(marker: int, body: bytes) -> bytes:
     return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
 
 
+def encode(image: Image, quantisation: dict[int, np.ndarray] | None = None) -> bytes:
+    """A new baseline file of coefficients; ``quantisation`` by table number (all ones for those not given)."""
+    given = quantisation or image.tables
+    tables = {c.table: given.get(c.table, np.ones(64, np.int64)) for c in image.components}
+    head = b"".join(_segment(0xDB, bytes([i]) + bytes(int(x) for x in t[list(ZIGZAG)])) for i, t in sorted(tables.items()))
+    return b"\xff\xd8" + head + _frame_and_scan(image, image) + b"\xff\xd9"
+
+
+def _frame_and_scan(frame: Image, image: Image) -> bytes:
+    comps = frame.components
+    out = [_segment(0xC0, bytes([8]) + frame.height.to_bytes(2, "big") + frame.width.to_bytes(2, "big") + bytes([len(comps)]) + b"".join(bytes([c.id, c.h << 4 | c.v, c.table]) for c in comps))]
+    sets = [(DC_LUMA, AC_LUMA), (DC_CHROMA, AC_CHROMA)][: 1 + (len(comps) > 1)]
+    for i, (dc, ac) in enumerate(sets):
+        out += [_segment(0xC4, bytes([kind << 4 | i, *lengths]) + symbols) for kind, (lengths, symbols) in enumerate((dc, ac))]
+    out.append(_segment(0xDA, bytes([len(comps)]) + b"".join(bytes([c.id, 0x11 * min(i, 1)]) for i, c in enumerate(comps)) + bytes([0, 63, 0])))
+    return b"".join(out) + _entropy(frame, image, [(_codes(*dc), _codes(*ac)) for dc, ac in sets])
+
+
 def write(reference: bytes, image: Image) -> bytes:
     """A baseline file with ``image``'s coefficients and ``reference``'s frame, quantisation and application data."""
     frame = read(reference)
@@ -353,13 +382,7 @@ def write(reference: bytes, image: Image) -> bytes:
             out.append(_segment(m, reference[a:b]))
         if m == 0xDA:
             break
-    comps = frame.components
-    out.append(_segment(0xC0, bytes([8]) + frame.height.to_bytes(2, "big") + frame.width.to_bytes(2, "big") + bytes([len(comps)]) + b"".join(bytes([c.id, c.h << 4 | c.v, c.table]) for c in comps)))
-    sets = [(DC_LUMA, AC_LUMA), (DC_CHROMA, AC_CHROMA)][: 1 + (len(comps) > 1)]
-    for i, (dc, ac) in enumerate(sets):
-        out += [_segment(0xC4, bytes([kind << 4 | i, *lengths]) + symbols) for kind, (lengths, symbols) in enumerate((dc, ac))]
-    out.append(_segment(0xDA, bytes([len(comps)]) + b"".join(bytes([c.id, 0x11 * min(i, 1)]) for i, c in enumerate(comps)) + bytes([0, 63, 0])))
-    return b"".join(out) + _entropy(frame, image, [(_codes(*dc), _codes(*ac)) for dc, ac in sets]) + b"\xff\xd9"
+    return b"".join(out) + _frame_and_scan(frame, image) + b"\xff\xd9"
 
 
 def _entropy(frame: Image, image: Image, tables: list) -> bytes:
@@ -422,6 +445,31 @@ def _entropy(frame: Image, image: Image, tables: list) -> bytes:
     return bytes(out)
 
 
+def samples(component: Component, quantisation: np.ndarray) -> np.ndarray:
+    """A component's samples (0 to 255) with its padding: dequantised, inverse cosine transform."""
+    x, u = np.meshgrid(np.arange(8), np.arange(8))
+    basis = np.cos((2 * x + 1) * u * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)
+    y = (component.blocks * quantisation).reshape(component.height, component.width, 8, 8).astype(np.float64)
+    out = np.einsum("ux,rcuv,vy->rcxy", basis, y, basis) + 128
+    return np.clip(np.rint(out), 0, 255).transpose(0, 2, 1, 3).reshape(component.height * 8, component.width * 8)
+
+
+def pixels(data: bytes) -> np.ndarray:
+    """RGB pixels (height x width x 3); one component is grey, colours of smaller sampling are repeated."""
+    image = read(data)
+    hm, vm = max(c.h for c in image.components), max(c.v for c in image.components)
+    planes = []
+    for c in image.components[:3]:
+        p = samples(c, image.tables.get(c.table, np.ones(64, np.int64)))
+        p = p.repeat(vm // c.v, axis=0).repeat(hm // c.h, axis=1)
+        planes.append(p[: image.height, : image.width])
+    if len(planes) < 3:
+        return np.repeat(planes[0][:, :, None], 3, axis=2).astype(np.uint8)
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
+
+
 # ---- tables
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,3 +38,13 @@ def parsed(logs: DataFrame) -> DataFrame:
         c = last(rf"^\Q{head}\E\s*{value}$")
         out.append((F.coalesce(c, F.lit("")) if kind == "string" else c.try_cast(kind)).alias(name))
     return logs.select("log_id", *out)
+
+
+def write_json(metrics: DataFrame, folder: str) -> None:
+    """Metric rows as JSON, in place of what is there."""
+    metrics.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
+def append_csv(metrics: DataFrame, folder: str) -> None:
+    """Metric rows added to a folder of CSV files, each with its head line."""
+    metrics.write.mode("append").option("header", True).csv(folder)

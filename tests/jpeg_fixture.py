@@ -28,9 +28,7 @@ def _tables(n):
 
 
 def baseline(im):
-    sets, tables = _tables(1 + (len(im.components) > 1))
-    scan = bytes([len(im.components)]) + b"".join(bytes([c.id, 0x11 * min(i, 1)]) for i, c in enumerate(im.components)) + bytes([0, 63, 0])
-    return _head(im, 0xC0) + tables + jpeg._segment(0xDA, scan) + jpeg._entropy(im, im, [(jpeg._codes(*d), jpeg._codes(*a)) for d, a in sets]) + b"\xff\xd9"
+    return jpeg.encode(im)
 
 
 class Bits:

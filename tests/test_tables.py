@@ -260,8 +260,13 @@ def test_luma_replace(spark):
 def test_fnv_and_pixels(spark):
     row = verify.fnv1a64(spark.createDataFrame([(bytearray(b"abc"),)], "content binary")).first()
     assert row.fnv == u64.signed(cli._fnv(b"abc"))
-    a = verify.inverse_dct(np.zeros((2, 3, 64)), np.ones(64))
-    assert a.shape == (16, 24) and (a == 128).all() and verify.pixel_error(a, a) == 0 and verify.pixel_error(a, a[:8]) == float("inf")
+    grey, colour = baseline(image(24, 16, [(1, 1)])), baseline(image(24, 16, [(2, 2), (1, 1), (1, 1)]))
+    assert jpeg.pixels(grey).shape == jpeg.pixels(colour).shape == (16, 24, 3)
+    assert verify.pixel_mse(grey, grey) == 0 and verify.pixel_mse(grey, colour) > 0 and verify.pixel_mse(grey, baseline(image(16, 16, [(1, 1)]))) == float("inf")
+    flat = jpeg.Image(8, 8, [jpeg.Component(1, 1, 1, 0, 1, 1, np.array([[[80] + [0] * 63]], np.int16))])
+    assert (jpeg.pixels(jpeg.encode(flat, {0: np.full(64, 4, np.int64)})) == 128 + 80 * 4 // 8).all()
+    df = spark.createDataFrame([(bytearray(grey), bytearray(grey)), (bytearray(grey), None), (bytearray(b"x"), bytearray(grey))], "a binary, b binary")
+    assert [r.mse for r in verify.with_pixel_mse(df, "a", "b").collect()] == [0.0, None, None] or str([r.mse for r in verify.with_pixel_mse(df, "a", "b").collect()]) == "[0.0, nan, nan]"
 
 
 def test_lookups(spark):
@@ -272,6 +277,44 @@ def test_lookups(spark):
     assert verify.preview_source(entries, spark.createDataFrame([("t.1.ddct",)], "name string")).first()["target"] == "a"
 
 
+def test_display_rows(spark):
+    rows = spark.createDataFrame([("1", None, "a", 1), ("x", 2.5, "a", 3)], "n string, v double, output_ddct string, rank long")
+    assert [(r.n, r.v) for r in verify.sanitised(rows, ["n"]).collect()] == [(1, 0.0), (0, 2.5)]
+    assert verify.last_log(rows).first()["rank"] == 3
+
+
+def test_events(spark, folder, tmp_path):
+    scanned, _, _ = images.scan(spark, str(folder))
+    seen = list(images.events(scanned, "x"))
+    assert [e["event"] for e in seen] == ["start", *["progress"] * 6, "done"] and seen[-2]["processed_images"] == 6
+
+
+def test_metric_sinks(spark, tmp_path):
+    row = logs.parsed(spark.createDataFrame([(1, "Original Size (bytes): 10")], "log_id long, text string"))
+    for _ in range(2):
+        logs.append_csv(row, str(tmp_path / "csv"))
+        logs.write_json(row, str(tmp_path / "json"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    assert spark.read.json(str(tmp_path / "json")).first()["original_size_bytes"] == 10
+
+
+@pytest.mark.parametrize(("kind", "route"), [("watermark_Light", "any"), ("shift", "DCHash"), ("quality", None), ("stress_Light", "any")])
+def test_made_up_pairs(kind, route, tmp_path):
+    from blockweave.sources import datasets, engine
+
+    files = dict(datasets.pairs(kind, 1, side=128))
+    assert files == dict(datasets.pairs(kind, 1, side=128)) and datasets.write(str(tmp_path / "d"), kind, 1, side=64) == len(files)
+    (base,) = [x for n, x in files.items() if "_base" in n]
+    for name, target in files.items():
+        if "_target" in name:
+            result, data = engine.compress(target, base, "b")
+            if route is None:
+                assert result.compression_ratio < 1.2
+            else:
+                assert result.success and result.compression_ratio > 1.2 and engine.restore(data, base) == target
+                assert route == "any" or result.route == route
+
+
 def test_empty_archive(tmp_path):
     assert archive.write_archive(str(tmp_path / "x"), {}, [], []) is None
     assert archive.entry({"required_base": "b"})[1] == "b"
