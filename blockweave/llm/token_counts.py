@@ -49,7 +49,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, sep
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
         ordinal = 0
-        with store.open_output_stream(f"{root}/{name}") as out:
+        with store.open_output_stream(f"{root}/_{name}") as out:  # a name that Spark's listing leaves out until it is whole
             for batch in batches:
                 ids = batch.column(1)
                 off = ids.offsets.to_numpy()
@@ -61,6 +61,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, sep
                 out.write(tokens.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(n)), pa.array(np.arange(ordinal, ordinal + len(n))), batch.column(0)], ["file", "ordinal", "doc_id"])
                 ordinal += len(n)
+        store.move(f"{root}/_{name}", f"{root}/{name}")
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     encoded = bpe.encode(own, path, pattern).select("doc_id", "ids")
