@@ -1,9 +1,11 @@
 """Greedy base selection: each item in scan order against the earlier items that were registered as bases.
 
 The order matters only among items that are candidates of each other, so votes and pair results are computed
-for all pairs at once, candidate pairs are cut into connected components, and each component is folded in
-scan order. What an item without a match reports (its best sub-threshold vote) is filled in afterwards, when
-it is known which items are bases.
+for all pairs at once. Then waves decide items: one is decided as soon as its most preferred candidate that may
+still be a base is known to be one, or none is left. Every wave is a join and an aggregation over the pairs
+of undecided items; it decides the first of them at least, and of a large group of alike items nearly all, as
+these prefer the same first base. What an item without a match reports (its best sub-threshold vote) is
+filled in afterwards, when it is known which items are bases.
 
 Items: (image_id, rank, size, failed). Votes: (target_id, base_id, votes, first_pos), base before target.
 Results: (target_id, base_id, success, compressed_size) of each pair with enough votes; a missing row counts as
@@ -12,16 +14,15 @@ a call that raised.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import components
 from ..operators.ordering import ranked, running_sums
 from ..scratch import written
 
 THRESHOLD, MIN_RATIO = 2, 1.05
-FOLDED = "image_id string, status string, reason string, base string, votes long, ratio double, compressed_size long"
 
 
 def ordered_votes(features: DataFrame, items: DataFrame) -> DataFrame:
@@ -37,17 +38,21 @@ def ordered_votes(features: DataFrame, items: DataFrame) -> DataFrame:
     return t.join(b, "hash").filter("b_rank < t_rank").groupBy("target_id", "base_id").agg(F.count("*").alias("votes"), F.min("pos").alias("first_pos"))
 
 
-def decided(original: int, result: tuple | None, min_ratio: float, force: bool) -> tuple[str, str, float, int]:
-    """(status, reason, ratio, stored size) of a target compressed against its best base."""
-    if result is None:
-        return "new_base", "compress_image failed", 0.0, original
-    success, size = result
-    ratio = original / size if success and size > 0 else 0.0
-    if success and size > 0 and (ratio > min_ratio or force):
-        return "deduped", "forced_dedup" if force and not ratio > min_ratio else "dedup_success", ratio, size
-    if not force and ratio < 1.0:
-        return "kept_original", "redundancy_low_keep_original", ratio, original
-    return "new_base", "low_ratio_or_failed", ratio, original
+def outcome(original: Column, success: Column, size: Column, min_ratio: float, force: bool) -> dict[str, Column]:
+    """status, reason, ratio and stored size of a target compressed against its best base; a null success is a call that raised."""
+    good = F.coalesce(success & (size > 0), F.lit(False))
+    ratio = F.when(good, original.cast("double") / size.cast("double")).otherwise(0.0)
+    better = ratio > min_ratio
+    deduped = good & (F.lit(force) | better)
+    kept = F.lit(not force) & (ratio < 1.0)
+    status = F.when(success.isNull(), "new_base").when(deduped, "deduped").when(kept, "kept_original").otherwise("new_base")
+    reason = (
+        F.when(success.isNull(), "compress_image failed")
+        .when(deduped, F.when(better, "dedup_success").otherwise("forced_dedup"))
+        .when(kept, "redundancy_low_keep_original")
+        .otherwise("low_ratio_or_failed")
+    )
+    return {"status": status, "reason": reason, "ratio": ratio, "compressed_size": F.when(deduped, size).otherwise(original)}
 
 
 def scan(items: DataFrame, votes: DataFrame, results: DataFrame, threshold: int = THRESHOLD, min_ratio: float = MIN_RATIO, force: bool = False) -> DataFrame:
@@ -59,37 +64,30 @@ def scan(items: DataFrame, votes: DataFrame, results: DataFrame, threshold: int
     ids = items.select("image_id", "rank", "size")
     pairs = pairs.join(ids.select(F.col("image_id").alias("target_id"), F.col("rank").alias("t_rank"), F.col("size").alias("t_size")), "target_id").join(ids.select(F.col("image_id").alias("base_id"), F.col("rank").alias("b_rank")), "base_id")
     pairs = written(pairs, "pairs")
-    parts = components(pairs.select(F.col("t_rank").alias("u"), F.col("b_rank").alias("v")))
-    rows = pairs.join(parts.select(F.col("node").alias("t_rank"), "component"), "t_rank")
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        bases, out = set(), []
-        targets = {r: g for r, g in part.groupby("t_rank")}
-        roots = sorted(set(part["b_rank"]) | set(targets))
-        for rank in roots:
-            if rank not in targets:
-                bases.add(rank)  # without earlier candidates: a new base
-                continue
-            g = targets[rank]
-            own = g[g["b_rank"].isin(bases)]
-            if not len(own):
-                bases.add(rank)
-                continue
-            best = own.sort_values(["votes", "first_pos", "b_rank"], ascending=[False, True, True]).iloc[0]
-            result = None if pd.isna(best["success"]) else (bool(best["success"]), int(best["compressed_size"] if not pd.isna(best["compressed_size"]) else 0))
-            status, reason, ratio, size = decided(int(best["t_size"]), result, min_ratio, force)
-            if status != "deduped":
-                bases.add(rank)
-            out.append((best["target_id"], status, reason, best["base_id"], int(best["votes"]), ratio, size))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
-
-    matched = written(rows.groupBy("component").applyInPandas(fold, FOLDED), "matched")
+    bases = items.filter("not failed").select("image_id").join(pairs.select(F.col("target_id").alias("image_id")).distinct(), "image_id", "left_anti")
+    bases = written(bases.select(F.col("image_id").alias("base_id"), F.lit(True).alias("is_base")), "bases")
+    undecided, waves = pairs, []
+    x = F.col("x")
+    while not undecided.isEmpty():
+        rows = undecided.join(bases, "base_id", "left")
+        order = F.struct((-F.col("votes")).alias("v"), "first_pos", "b_rank", "is_base", "base_id", "success", "compressed_size")
+        best = rows.groupBy("target_id", "t_size").agg(F.min(F.when(F.coalesce("is_base", F.lit(True)), order)).alias("x"))
+        ready = best.filter(x.isNull() | F.coalesce(x["is_base"], F.lit(False)))
+        result = outcome(F.col("t_size"), x["success"], x["compressed_size"], min_ratio, force)
+        alone = {"status": "new_base", "reason": "no_match"}
+        out = {k: F.when(x.isNull(), F.lit(alone[k]) if k in alone else F.lit(0.0) if k == "ratio" else F.col("t_size")).otherwise(c) for k, c in result.items()}
+        wave = written(ready.select(F.col("target_id").alias("image_id"), *[c.alias(k) for k, c in out.items()], x["base_id"].alias("base"), (-x["v"]).alias("votes")), "wave")
+        waves.append(wave)
+        bases = written(bases.union(wave.select("image_id", F.col("status") != "deduped")), "bases")
+        undecided = written(undecided.join(wave.select(F.col("image_id").alias("target_id")), "target_id", "left_anti"), "undecided")
+    nothing = "image_id string, status string, reason string, ratio double, compressed_size long, base string, votes long"
+    matched = reduce(DataFrame.union, waves) if waves else items.sparkSession.createDataFrame([], nothing)
     known = items.join(matched, "image_id", "left")
     known = known.withColumn("status", F.when(F.col("failed"), "failed").otherwise(F.coalesce("status", F.lit("new_base")))).withColumn("reason", F.when(F.col("failed"), "feature extraction failed").otherwise(F.coalesce("reason", F.lit("no_match"))))
     known = written(known, "statuses")
     # the best vote among registered earlier items, for items without a match
-    bases = known.filter("status in ('new_base', 'kept_original')").select(F.col("image_id").alias("base_id"))
-    seen = votes.join(bases, "base_id", "left_semi").groupBy(F.col("target_id").alias("image_id")).agg(F.max("votes").alias("seen"))
+    registered = known.filter("status in ('new_base', 'kept_original')").select(F.col("image_id").alias("base_id"))
+    seen = votes.join(registered, "base_id", "left_semi").groupBy(F.col("target_id").alias("image_id")).agg(F.max("votes").alias("seen"))
     out = known.join(seen, "image_id", "left")
     seen_votes = F.when(F.col("reason") == "no_match", F.coalesce("seen", F.lit(0))).otherwise(F.coalesce("votes", F.lit(0)))
     return out.select("image_id", "rank", "status", "reason", F.coalesce("base", F.lit("")).alias("base"), seen_votes.cast("long").alias("votes"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.col("size").alias("original_size"), F.coalesce("compressed_size", "size").alias("compressed_size"))

@@ -101,6 +101,19 @@ def test_ranks_and_running_sums(spark):
         assert (r["k"], r["rank"], r["n"], r["v"]) == (i, i, i + 1, total)
 
 
+def decided(original, result, min_ratio, force):
+    """(status, reason) of one target, step by step."""
+    if result is None:
+        return "new_base", "compress_image failed"
+    success, size = result
+    ratio = original / size if success and size > 0 else 0.0
+    if success and size > 0 and (ratio > min_ratio or force):
+        return "deduped", "forced_dedup" if force and not ratio > min_ratio else "dedup_success"
+    if not force and ratio < 1.0:
+        return "kept_original", "redundancy_low_keep_original"
+    return "new_base", "low_ratio_or_failed"
+
+
 def sequential(items, votes, results, threshold=2, min_ratio=1.05, force=False):
     bases, out = set(), {}
     rank = {i: r for i, r, _, _ in items}
@@ -115,7 +128,7 @@ def sequential(items, votes, results, threshold=2, min_ratio=1.05, force=False):
             out[i] = ("new_base", "", top)
             continue
         best = min(own, key=lambda b: (-own[b][0], own[b][1], rank[b]))
-        status, _, _, _ = greedy.decided(size, results.get((i, best)), min_ratio, force)
+        status, _ = decided(size, results.get((i, best)), min_ratio, force)
         if status != "deduped":
             bases.add(i)
         out[i] = (status, best, top)
@@ -142,13 +155,12 @@ def test_scan_is_the_sequential_scan(spark, force):
     assert {r.image_id: (r.status, r.base, r.votes) for r in got} == sequential(items, votes, results, force=force)
 
 
-def test_decisions():
-    assert greedy.decided(100, None, 1.05, False)[:2] == ("new_base", "compress_image failed")
-    assert greedy.decided(100, (True, 50), 1.05, False)[:2] == ("deduped", "dedup_success")
-    assert greedy.decided(105, (True, 100), 1.05, False)[:2] == ("new_base", "low_ratio_or_failed")
-    assert greedy.decided(105, (True, 100), 1.05, True)[:2] == ("deduped", "forced_dedup")
-    assert greedy.decided(100, (False, 0), 1.05, False)[:2] == ("kept_original", "redundancy_low_keep_original")
-    assert greedy.decided(100, (False, 0), 1.05, True)[:2] == ("new_base", "low_ratio_or_failed")
+def test_decisions(spark):
+    rows = [(100, None, None), (100, True, 50), (105, True, 100), (100, False, 0), (100, True, 200), (100, True, 0), (100, True, 100)]
+    df = spark.createDataFrame(rows, "o long, s boolean, c long")
+    for force in (False, True):
+        got = [(r.status, r.reason) for r in df.select(*[c.alias(k) for k, c in greedy.outcome(F.col("o"), F.col("s"), F.col("c"), 1.05, force).items()]).collect()]
+        assert got == [decided(o, None if s is None else (s, c), 1.05, force) for o, s, c in rows]
 
 
 @pytest.fixture
