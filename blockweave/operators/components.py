@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import dropped, written
 
 
 class UnionFind:
@@ -75,7 +75,8 @@ def components(links: DataFrame) -> DataFrame:
         maps.append(point)
         a = point.select(F.col("node").alias("u"), F.col("to").alias("a"))
         b = point.select(F.col("node").alias("v"), F.col("to").alias("b"))
-        edges = written(edges.join(a, "u").join(b, "v").filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        before, edges = edges, written(edges.join(a, "u").join(b, "v").filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        dropped(before)
     if not maps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = maps[0]
