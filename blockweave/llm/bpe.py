@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .textkit import give_back
 
-#: Pre-tokens that a worker's memo holds; it starts anew when full.
+#: Pre-tokens that a generation of a worker's memo holds.
 MEMO = 200_000
 #: Text characters put into one output batch.
 OUT_CHARS = 1 << 20
@@ -138,14 +139,20 @@ class Vocabulary:
 
 
 class _Memo(dict):
+    """Ids of pre-tokens seen of late: a young and an old generation of at most MEMO each."""
+
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = np.array(self.vocabulary.encode_piece(piece.encode()), np.int32).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.vocabulary.encode_piece(piece.encode())
+            ids = struct.pack(f"<{len(found)}i", *found)
         if len(piece) <= 64:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
