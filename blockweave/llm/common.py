@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import new_path, shared_dir, written
+from ..scratch import dropped, new_path, shared_dir, written
 
-__all__ = ["BROADCAST_BYTES", "hinted", "new_path", "shared_dir", "small", "table", "written"]
+__all__ = ["BROADCAST_BYTES", "dropped", "hinted", "new_path", "shared_dir", "small", "table", "written"]
 
 #: A side is broadcast only when its counted rows times its row width stay under this many bytes.
 BROADCAST_BYTES = 16 << 20

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components, roots_local
-from .common import hinted, written
+from .common import dropped, hinted, written
 from .textkit import U, give_back, mix, shingle_sets
 
 #: Members up to which a bucket's pairs are listed.
@@ -220,6 +220,7 @@ def near_groups(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     # sums by band are written before they are joined: a join right above its own aggregation can't be split at a hot band
     buckets = written(entries.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).filter("size > 1"), "sizes")
     shared = written(entries.join(buckets, "band").select("band", "doc_id", "n", "size", "hub"), "buckets")
+    dropped(sig, classes, entries, buckets)
 
     cands = written(shared.select("doc_id").distinct(), "candidates")
     sets = written(set_table(docs.join(hinted(cands, 16), "doc_id", "left_semi"), banding.words), "sets")
@@ -249,6 +250,7 @@ def near_groups(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
             links = links.union(written(_swept(spread, sets, percent), "links"))
             labels = components(links)
 
+    dropped(shared, cands, sets)
     label = labels.select(F.col("node").alias("rep"), "component")
     out = copies.join(label, "rep", "left")
     component = F.coalesce("component", "rep")
