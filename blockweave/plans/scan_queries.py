@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import delta
+from ..operators.ordering import ranked, running_sums
 from ..scratch import written
-from ..sources import logs, package
+from ..sources import logs, package, text
 from . import documents, greedy, grids, rollup, verify
 from .grids import CELLS, PAIRS, load
 from .queries import ACCOUNTED, ROUTED, query, routed
@@ -49,15 +50,11 @@ def zigzag_order(spark, sf_dir):
 
 @query("luma_text", f"with {CELLS} select image_id, (max(col) + 1) || ' ' || (max(\"row\") + 1) || chr(10) || string_agg(array_to_string(coeff, ' '), chr(10) order by \"row\", col) || chr(10) as text from cells group by image_id")
 def luma_text(spark, sf_dir):
-    from ..sources import text
-
     return text.luma_text(grids.cells(spark, sf_dir))
 
 
 @query("luma_text_roundtrip", f"with {CELLS}, whole as (select image_id from cells group by image_id having count(*) = 20) select image_id, \"row\", col, coeff from cells semi join whole using (image_id)")
 def luma_text_roundtrip(spark, sf_dir):
-    from ..sources import text
-
     return text.parse_luma_text(text.luma_text(grids.cells(spark, sf_dir))).filter("error is null").select("image_id", "row", "col", "coeff")
 
 
@@ -137,10 +134,8 @@ def running_scan_stats(spark, sf_dir):
     return greedy.running_stats(scanned_documents(spark, sf_dir))
 
 
-@query("running_event_stats", "select event_id, sum(coalesce(value, 0)) over (order by event_id) as value_so_far_raw, count(*) over (order by event_id) as events_so_far from (select event_id, floor(coalesce(value, 0))::bigint as value from events)".replace("sum(coalesce(value, 0)) over (order by event_id) as value_so_far_raw", "(sum(value) over (order by event_id))::bigint as value_so_far"))
+@query("running_event_stats", "select event_id, (sum(value) over (order by event_id))::bigint as value_so_far, count(*) over (order by event_id) as events_so_far from (select event_id, floor(coalesce(value, 0))::bigint as value from events)")
 def running_event_stats(spark, sf_dir):
-    from ..operators.ordering import ranked, running_sums
-
     own = load(spark, sf_dir, "events").select("event_id", F.floor(F.coalesce("value", F.lit(0.0))).cast("long").alias("value_so_far"), F.lit(1).cast("long").alias("events_so_far"))
     return running_sums(ranked(own, "event_id"), "rank", ["value_so_far", "events_so_far"]).select("event_id", "value_so_far", "events_so_far")
 

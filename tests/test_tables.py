@@ -327,7 +327,8 @@ def test_made_up_pairs(kind, route, tmp_path):
                 assert route == "any" or result.route == route
 
 
-def test_empty_archive(tmp_path):
+def test_empty_archive(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
     assert archive.write_archive(str(tmp_path / "x"), {}, [], []) is None
     assert archive.entry({"required_base": "b"})[1] == "b"
     assert archive.output_root("/proc/none/x", "set").endswith("set_Output")
