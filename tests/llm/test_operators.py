@@ -425,15 +425,17 @@ def test_shared_passages(spark, odd, empty):
     rows = [(1, fresh(3, 200) + " " + passage + " " + fresh(4, 100)), (2, fresh(5, 50) + " " + passage.upper() + "\n" + fresh(6, 10)), (3, passage), (4, fresh(7, 500)), (5, fuzzy + " " + fresh(8, 40)), (6, fresh(9, 80) + " " + edited(fuzzy, 25, 1)), (7, fresh(4, 30)), (8, fresh(10, 200)), (9, fresh(10, 200)), (10, " ".join(passage.split()[:30]) + fresh(11, 60)), (11, None), (12, ""), (13, "a b")]
     rows += [(100 + i, fresh(1000 + i, 60) + " " + passage) for i in range(40)]
     rows += [(50, fresh(20, 30) + " was" * 9 + " " + fresh(21, 30)), (51, fresh(22, 30) + " was" * 70 + " " + fresh(23, 30)), (52, fresh(24, 10) + " was" * 64)]
+    rows += [(60, fresh(30, 30) + " of the" * 4 + " " + fresh(31, 30)), (61, fresh(32, 30) + " of the" * 40 + " " + fresh(33, 30)), (62, fresh(34, 10) + " of the" * 300)]
     got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     pairs = {(r.doc_id, r.other_id) for r in got}
     holders = {1, 2, 3, *range(100, 140)}
-    assert pairs >= {(2, 1), (3, 1), (6, 5), (9, 8), (52, 51)} | {(100 + i, 1) for i in range(40)}
-    assert all({a, b} <= holders or (a, b) in {(6, 5), (9, 8), (52, 51)} for a, b in pairs)  # seeds at a passage's edge may have a later hub
+    assert pairs >= {(2, 1), (3, 1), (6, 5), (9, 8), (52, 51), (62, 61)} | {(100 + i, 1) for i in range(40)}
+    assert all({a, b} <= holders or (a, b) in {(6, 5), (9, 8), (52, 51), (62, 61)} for a, b in pairs)  # seeds at a passage's edge may have a later hub
     by = {r.doc_id: r for r in sorted(got, key=lambda r: -r.other_id)}
     assert (by[2].start, by[2].end, by[2].other_start, by[2].other_end, by[2].identity) == (50, 120, 200, 270, 1.0)
     assert (by[9].start, by[9].end) == (0, 200) and by[6].end - by[6].start >= 290 and 0.9 < by[6].identity < 1
     assert substring_dedup.shared_passages(empty).count() == 0
+    assert sum(r.doc_id == 62 for r in got) == 1
     found = {r.doc_id for r in substring_dedup.shared_passages(odd).collect()}
     assert 25 in found and 28 in found  # the upper-case copy and the one with other white space
 
