@@ -440,6 +440,22 @@ def test_shared_passages(spark, odd, empty):
     assert 25 in found and 28 in found  # the upper-case copy and the one with other white space
 
 
+def test_exact_repeats_whose_seeds_begin_in_a_shorter_stretch(spark):
+    def fresh(seed, n):
+        r = random.Random(seed)
+        return " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+
+    line, passage = fresh(1, 15) + " ", fresh(2, 90).split()
+    rows = [(1, fresh(3, 20) + " " + line * 2 + fresh(4, 20)), (2, fresh(5, 30) + " " + line * 10 + fresh(6, 25)), (3, fresh(7, 12) + " " + line * 10 + fresh(8, 40))]
+    rows += [(10 + i, fresh(20 + i, 30) + " " + " ".join(passage[a : a + 40]) + " " + fresh(30 + i, 30)) for i, a in enumerate((0, 25, 50))]
+    rows += [(14 + i, fresh(40 + i, 30) + " " + " ".join(passage) + " " + fresh(50 + i, 30)) for i in range(4)]
+    got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(3, 2), (15, 14), (16, 14), (17, 14)}
+    longest = {r.doc_id: r for r in sorted(got, key=lambda r: r.end - r.start)}
+    for r in longest.values():
+        assert (r.start, r.end, r.other_start, r.other_end, r.identity) == ((12, 162, 30, 180, 1.0) if r.doc_id == 3 else (30, 120, 30, 120, 1.0))
+
+
 # ---- mixing
 
 def brute_mix(rows, seed, weights, total):
