@@ -456,6 +456,21 @@ def test_exact_repeats_whose_seeds_begin_in_a_shorter_stretch(spark):
         assert (r.start, r.end, r.other_start, r.other_end, r.identity) == ((12, 162, 30, 180, 1.0) if r.doc_id == 3 else (30, 120, 30, 120, 1.0))
 
 
+def test_fuzzy_passages_are_found(spark):
+    r = random.Random(9)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 240, 2):
+        passage, every = fresh((66, 80, 100)[i // 2 % 3]), (6, 8, 10)[i // 6 % 3]
+        if i % 4:  # words replaced
+            other = [w if j % every else "x" + w for j, w in enumerate(passage)]
+        else:  # words put in and left out
+            other = [y for j, w in enumerate(passage) for y in (([w, "x" + w], [])[j // every % 2] if j % every == 0 else [w])]
+        rows += [(i, " ".join(fresh(60) + passage + fresh(50))), (i + 1, " ".join(fresh(45) + other + fresh(70)))]
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(i + 1, i) for i in range(0, 240, 2)} and len(got) >= 0.95 * 120
+
+
 # ---- mixing
 
 def brute_mix(rows, seed, weights, total):
