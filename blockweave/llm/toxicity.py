@@ -2,9 +2,10 @@
 
 1. A character trigram model is counted over all texts.
 2. Words that may be disguised (symbols or digits that stand for letters, letters set apart, repeated
-   letters, letters spaced out over words) become character lattices: every position offers the letters it
+   letters, letters and symbols spaced out over words, words of symbols alone) become character lattices: every position offers the letters it
    may stand for, or nothing, each at a cost. Viterbi decoding under the character model picks the restored
-   word. Other words have a lattice with one path, which is the word itself.
+   word, or words where spaced letters make up more than one. Other words have a lattice with one path, which
+   is the word itself.
 3. Restored words and their prefixes are features. Their weights come from labelled documents: features that
    toxic documents have much more often are selected by the G statistic, then a logistic regression with an
    L2 penalty is fitted on which of them each document has.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from .textkit import BASE, BASE_INV, BYTE, SPACE, U, _power, bytes_of, chunks, g
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "%": "o", "&": "a"}
 #: Log costs of the channel: a symbol for a letter, a mark dropped, a symbol dropped, a repeated letter dropped.
 STAND_COST, MARK_COST, DROP_COST, REPEAT_COST = -1.0, -0.2, -4.0, -0.5
+#: Log costs of a doubled letter dropped (where not all letters are doubled), and of a word's end between spaced letters.
+DOUBLE_COST, BOUND_COST = -2.5, -1.0
 #: Bytes that a prefix feature takes.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled documents of each label that the fit takes at most; features that it selects at most.
@@ -101,12 +105,19 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each character what it may stand for, with costs; "" is nothing."""
     out: list[list[tuple[str, float]]] = []
     low = word.lower()
-    run = 0
-    for i, ch in enumerate(low):
-        run = run + 1 if i and low[i - 1] == ch else 1
+    solid = low.replace(" ", "")
+    stretches = [len(list(g)) for ch, g in groupby(solid) if ch.isalpha()]
+    double = REPEAT_COST if len(stretches) > 1 and min(stretches) > 1 else DOUBLE_COST
+    run, i = 0, -1
+    for ch in low:
+        if ch == " ":  # between spaced letters: nothing, or a word's end
+            out.append([("", 0.0), (" ", BOUND_COST)])
+            continue
+        i += 1
+        run = run + 1 if i and solid[i - 1] == ch else 1
         if ch.isalpha():
-            again = run > 2 or i + 1 < len(low) and run > 1 and low[i + 1] == ch
-            out.append([(ch, 0.0), ("", REPEAT_COST)] if again else [(ch, 0.0)])
+            again = run > 2 or i + 1 < len(solid) and run > 1 and solid[i + 1] == ch
+            out.append([(ch, 0.0), ("", REPEAT_COST if again else double)] if run > 1 else [(ch, 0.0)])
         elif ch in STANDS_FOR:
             out.append([*((x, STAND_COST) for x in STANDS_FOR[ch]), ("", DROP_COST if ch.isdigit() or ch in "@$!" else MARK_COST)])
         else:
@@ -139,7 +150,7 @@ def _viterbi(lattices: list, longest: int, model: np.ndarray) -> list[str]:
     for i, x in enumerate(lattices):
         for p, options in enumerate(x):
             for o, (ch, c) in enumerate(options):
-                code[i, p, o] = -1 if not ch else ord(ch) - 96 if "a" <= ch <= "z" else 27
+                code[i, p, o] = -1 if not ch else 0 if ch == " " else ord(ch) - 96 if "a" <= ch <= "z" else 27
                 cost[i, p, o] = c
     code[code[:, :, 0] == -2, 0], cost[cost[:, :, 0] == -np.inf, 0] = -1, 0.0  # past the end: nothing, free
     # a state is the last two letters; score[i, b, c] is the best path's that ends with them
@@ -157,7 +168,7 @@ def _viterbi(lattices: list, longest: int, model: np.ndarray) -> list[str]:
                 better = stay > new[drop]
                 new[drop] = np.where(better, stay, new[drop])
                 took[p][drop] = np.where(better, np.int8(o), took[p][drop])
-            emit = np.flatnonzero(c > 0)
+            emit = np.flatnonzero(c >= 0)
             if len(emit):
                 to = c[emit]
                 paths = score[emit] + model[:, :, to].transpose(2, 0, 1)  # word, before last, last
@@ -237,10 +248,10 @@ def features(data: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.n
     odd = has & (b - a != count)  # marks among the letters
     folded = FOLD[data]
     same = np.zeros(n, bool)
-    same[2:] = letter[2:] & (folded[2:] == folded[1:-1]) & (folded[1:-1] == folded[:-2]) & (data[2:] < 128)
+    same[1:] = letter[1:] & (folded[1:] == folded[:-1]) & (data[1:] < 128)
     reps = np.zeros(n + 1, np.int64)
     np.cumsum(same, out=reps[1:])
-    odd |= reps[b] - reps[np.minimum(a + 2, b)] > 0
+    odd |= reps[b] - reps[np.minimum(a + 1, b)] > 0
     # symbols right before or after the letters, but for runs of one mark, which are decoration
     lead, trail = has & (a > starts), has & (b < ends)
     left = np.flatnonzero(lead)
@@ -248,14 +259,21 @@ def features(data: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.n
     right = np.flatnonzero(trail)
     last = data[b[right]]
     odd[right] |= SYMBOL[last] & (last != 33) & ((ends[right] - b[right] < 3) | (last != data[np.minimum(b[right] + 1, n - 1)]))
-    # letters spaced out: three or more one-letter words in a row
-    single = has & (count == 1) & (ends - starts == 1)
+    # words of symbols alone, but for runs of one mark
+    signs, turns = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    np.cumsum(SYMBOL[data], out=signs[1:])
+    np.cumsum(np.r_[False, data[1:] != data[:-1]], out=turns[1:])
+    odd |= ~has & (signs[ends] - signs[starts] > 1) & (turns[ends] - turns[starts + 1] > 0)
+    # letters spaced out: one-character words in a row, three or more of them letters or symbols, one a letter
+    single = ends - starts == 1
     joined: list[tuple[int, int]] = []
     if single.any():
         brk = np.r_[True, ~(single[1:] & single[:-1] & (row[1:] == row[:-1]))]
         group = np.flatnonzero(brk)
         length = np.diff(np.r_[group, len(single)])
-        joined = [(int(g), int(m)) for g, m in zip(group[length > 2], length[length > 2], strict=True) if single[g]]
+        member = np.add.reduceat((letter | SYMBOL[data])[starts].astype(np.int64), group)
+        some = single[group] & (length > 2) & (member > 2) & (np.add.reduceat(has.astype(np.int64), group) > 0)
+        joined = list(zip(group[some].tolist(), length[some].tolist(), strict=True))
     plain = has & ~odd
     for g, m in joined:
         plain[g : g + m] = False
@@ -264,13 +282,18 @@ def features(data: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.n
     raw = [bytes(data[i:j]).decode("utf-8", "replace") for i, j in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
     raw_row = row[odd].tolist()
     for g, m in joined:
-        raw.append(bytes(data[starts[g : g + m]]).decode())
+        text = " ".join(bytes(data[starts[g : g + m]]).decode())
+        raw.append(text)
         raw_row.append(int(row[g]))
+        if m > 3 and text[0] in "aAiI":  # it may be a word before a spaced one
+            raw.append(text[2:])
+            raw_row.append(int(row[g]))
     if not raw:
         return h, r
     distinct = list(dict.fromkeys(raw))
     plain_of = dict(zip(distinct, restored(distinct, model), strict=True))
-    words = [plain_of[w].encode() for w in raw]
+    parts = [(w.encode(), r) for x, r in zip(raw, raw_row, strict=True) for w in plain_of[x].split(" ")]
+    words, raw_row = [w for w, _ in parts], [r for _, r in parts]
     buffer = np.frombuffer(b"".join(words), np.uint8)
     edge = np.concatenate(([0], np.cumsum([len(w) for w in words])))
     run, down = _sums(buffer)

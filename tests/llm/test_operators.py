@@ -376,6 +376,24 @@ def test_disguised_words_are_scored_like_plain_ones(spark):
     assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].predicted}
 
 
+def test_mixed_disguises_are_scored_like_plain_words(spark):
+    r = random.Random(1)
+    calm = ["house", "river", "table", "window", "garden", "stone", "letter", "music", "paper", "winter", "such", "a"]
+    rows, labels = [], []
+    for i in range(400):
+        words = [r.choice(calm) for _ in range(30)]
+        if i % 4 == 0:
+            words[r.randrange(30)] = r.choice(["idiot", "loser", "ass"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    bad = ["such a l o s e r stone", "river I l o s e r", "river i d 1 0 t stone", "river i - d - i - o - t stone", "river iiddiioott stone", "river @$$ stone", "river l o s e r i d i o t stone"]
+    good = ["river !!! stone", "such a river", "river - a - stone"]
+    probe = [(1000 + i, x) for i, x in enumerate(bad + good)]
+    docs, known = spark.createDataFrame(rows + probe, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, known).collect()}
+    assert [got[i] for i, _ in probe] == [1] * len(bad) + [0] * len(good)
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(odd, none).collect()} == {0}
