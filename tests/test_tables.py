@@ -91,6 +91,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    """10,000 links in a row, dealt over partitions that are never joined into one: O(log n) rounds, not n."""
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(key, value)
+    try:
+        rounds = []
+        out = components.components(spark.range(10_000).selectExpr("id as u", "id + 1 as v").repartition(100), rounds)
+        assert len(rounds) <= 20 and out.count() == 10_001 and out.filter("component <> 0").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_ranks_and_running_sums(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit(1).cast("long").alias("n"), F.col("id").alias("v"))
     out = ordering.running_sums(ordering.ranked(df, "k"), "rank", ["n", "v"], width=16).orderBy("rank").collect()
