@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import delta, features, votes
-from ..scratch import written
+from ..scratch import settled, written
 from ..session import ship
 from . import grids
 from .grids import CELLS, PAIRS, load, signature_ctes, signed_sql
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(spark, sf_dir)
+            return settled(lambda: f(spark, sf_dir), name)
 
         QUERIES[name] = run
         if sql:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths made within each open call of ``settled``.
+_OPEN: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a fresh local one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -20,7 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -32,8 +40,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Deletes what lies under ``paths``, if anything does."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes what ``written`` wrote for ``tables``: only once everything made from them has itself been written."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(df.sparkSession, df.scratch_path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns; if it made scratch tables, its rows are written and those tables deleted."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        out = make()
+        if made:
+            used = list(made)
+            out = written(out, name)
+            deleted(out.sparkSession, *used)
+        return out
+    finally:
+        _OPEN.pop()
