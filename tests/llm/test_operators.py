@@ -489,6 +489,74 @@ def test_fuzzy_passages_are_found(spark):
     assert got <= {(i + 1, i) for i in range(0, 240, 2)} and len(got) >= 0.95 * 120
 
 
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 15, 40])
+def test_stretches_of_any_period_are_found_whole(spark, period):
+    r = random.Random(period)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line = fresh(period)
+    turn = lambda n: (line * n)[:n]
+    rows = [(1, fresh(10) + turn(60) + fresh(20)), (2, fresh(20) + turn(120) + fresh(20)), (3, fresh(35) + turn(120) + fresh(5)), (4, fresh(30) + line + fresh(30))]
+    of = lambda rows: substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    got = of(rows)
+    assert {(r.doc_id, r.other_id) for r in got} <= {(2, 1), (3, 1), (3, 2)} and {r.doc_id for r in got} == {2, 3}
+    covered = {i: {x for r in got if r.doc_id == i for x in range(r.start, r.end)} for i in (2, 3)}
+    assert covered[3] == set(range(35, 155)) and covered[2] >= set(range(20, 80))
+    assert [(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end) for r in of(rows[1:])] == [(3, 2, 35, 155, 20, 140)]
+
+
+def test_passages_within_a_document(spark):
+    r = random.Random(3)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(80)
+    rows = [(1, fresh(10) + passage + fresh(30) + passage + fresh(5)), (2, fresh(200)), (3, fresh(5) + ["so"] * 300)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert substring_dedup.shared_passages(docs).count() == 0
+    got = [tuple(x) for x in substring_dedup.shared_passages(docs, within=True).collect()]
+    assert [x for x in got if x[0] == 1] == [(1, 1, 120, 200, 10, 90, 80, 1.0)]
+    assert {x[:2] for x in got} <= {(1, 1), (3, 3)} and all(x[5] <= x[2] for x in got)
+
+
+def brute_repeats(texts, n):
+    """Documents of which some run of ``n`` words stands in a document of a smaller id."""
+    seen, out = {}, set()
+    for i in sorted(texts):
+        w = texts[i].lower().split()
+        runs = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+        if any(x in seen for x in runs):
+            out.add(i)
+        for x in runs:
+            seen.setdefault(x, i)
+    return out
+
+
+def test_every_exact_repeat_of_real_documents_is_found(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = brute_repeats({r.doc_id: r.text or "" for r in docs.collect()}, substring_dedup.LEAST_WORDS)
+    got = {r.doc_id for r in substring_dedup.shared_passages(docs).select("doc_id").distinct().collect()}
+    assert want and want <= got
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15])
+def test_recall_of_edited_passages(spark, share):
+    """Passages of 70 to 200 words with words replaced, put in or left out at random: one row each, nearly all found."""
+    r = random.Random(int(share * 100))
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(0, 300, 2):
+        passage, other = fresh(r.randrange(70, 200)), []
+        for w in passage:
+            kind = r.choice("ridk") if r.random() < share else "k"
+            other += {"r": ["x" + w], "i": ["x" + w, w], "d": [], "k": [w]}[kind]
+        both = substring_dedup.matched_words(passage, other)
+        if both >= 50 and both >= 0.8 * max(len(passage), len(other)):
+            want.add((i + 1, i))
+        rows += [(i, " ".join(fresh(60) + passage + fresh(50))), (i + 1, " ".join(fresh(45) + other + fresh(70)))]
+    got = [(x.doc_id, x.other_id) for x in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(got) & want) >= 0.95 * len(want) and len(want) > 140
+    print("recall", share, len(set(got) & want) / len(want), "rows a pair", len(got) / len(set(got)))
+    assert len(got) <= 1.1 * len(set(got))
+
+
 # ---- mixing
 
 def brute_mix(rows, seed, weights, total):
