@@ -453,7 +453,8 @@ def test_shared_passages(spark, odd, empty):
     assert (by[2].start, by[2].end, by[2].other_start, by[2].other_end, by[2].identity) == (50, 120, 200, 270, 1.0)
     assert (by[9].start, by[9].end) == (0, 200) and by[6].end - by[6].start >= 290 and 0.9 < by[6].identity < 1
     assert substring_dedup.shared_passages(empty).count() == 0
-    assert sum(r.doc_id == 62 for r in got) == 1
+    long = [r for r in got if r.doc_id == 62]  # 600 words, of which its hub holds 80 at most: rows that cover them all
+    assert {x for r in long for x in range(r.start, r.end)} == set(range(10, 610)) and len(long) <= 13
     found = {r.doc_id for r in substring_dedup.shared_passages(odd).collect()}
     assert 25 in found and 28 in found  # the upper-case copy and the one with other white space
 
