@@ -14,8 +14,10 @@ Labels are learnt only from documents whose crc32 of the id (as text) mod 5 is n
 ``per_class`` of each label (those of the smallest id hash, a bounded and repeatable sample). The character
 model covers all texts. Only ``text`` is an input of a score.
 
-Edge cases: null and empty texts get the score of a document without any feature; very long texts and words
-are read whole; without labels of both kinds every score is the share of toxic labels (0 without labels);
+Edge cases: null and empty texts get the score of a document without any feature; very long texts are read whole;
+words of more than LONG characters are decoded in pieces, cut where the decoder's state is certain, and where a
+long stretch has no such place, with OVERLAP characters of context; a row without a doc_id is scored, is not
+held out and teaches nothing; without labels of both kinds every score is the share of toxic labels (0 without labels);
 a document with several labels is toxic if any says so; rows that repeat give a row each; other columns are
 ignored.
 """
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 from .textkit import BASE, BASE_INV, BYTE, SPACE, U, _power, bytes_of, chunks, give_back, mix
 
 #: Letters that a symbol may stand for, beside itself being a mere mark.
@@ -42,8 +44,10 @@ STAND_COST, MARK_COST, DROP_COST, REPEAT_COST = -1.0, -0.2, -4.0, -0.5
 DOUBLE_COST, BOUND_COST = -2.5, -1.0
 #: Bytes that a prefix feature takes.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Labelled documents of each label that the fit takes at most; features that it selects at most.
-PER_CLASS, FEATURES = 3000, 2048
+#: Labelled documents of each label that the fit takes at most.
+PER_CLASS = 3000
+#: Characters from which a word is decoded in pieces, of a piece at least, and of context where a cut is not exact.
+LONG, PIECE, OVERLAP = 512, 96, 32
 #: Least G statistic of a selected feature; penalty of the fit.
 LEAST_G, L2 = 18.0, 0.1
 #: A feature counts once for each of these numbers of times that a document has it.
@@ -101,13 +105,18 @@ def character_model(texts: DataFrame) -> np.ndarray:
     return smoothed(counts)
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
+def double_cost(low: str) -> float:
+    """The cost of dropping one of two equal letters in a word: less where all its letters are doubled."""
+    stretches = [len(list(g)) for ch, g in groupby(low.replace(" ", "")) if ch.isalpha()]
+    return REPEAT_COST if len(stretches) > 1 and min(stretches) > 1 else DOUBLE_COST
+
+
+def lattice(word: str, double: float | None = None) -> list[list[tuple[str, float]]]:
     """For each character what it may stand for, with costs; "" is nothing."""
     out: list[list[tuple[str, float]]] = []
     low = word.lower()
     solid = low.replace(" ", "")
-    stretches = [len(list(g)) for ch, g in groupby(solid) if ch.isalpha()]
-    double = REPEAT_COST if len(stretches) > 1 and min(stretches) > 1 else DOUBLE_COST
+    double = double_cost(low) if double is None else double
     run, i = 0, -1
     for ch in low:
         if ch == " ":  # between spaced letters: nothing, or a word's end
@@ -125,37 +134,95 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restored(words: list[str], model: np.ndarray, at_once: int = 1 << 14) -> list[str]:
-    """The most likely plain word behind each of ``words``: Viterbi over their lattices, many words together."""
-    out = [""] * len(words)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    k = 0
-    while k < len(order):
-        j, longest = k, len(words[order[k]])
-        while j < len(order) and (j - k + 1) * max(1, len(words[order[j]])) <= at_once:
-            longest = len(words[order[j]])
-            j += 1
-        j = max(j, k + 1)
-        part = order[k:j]
-        for i, w in zip(part, _viterbi([lattice(words[i]) for i in part], longest, model), strict=True):
-            out[i] = w
-        k = j
+def _class(ch: str) -> int:
+    return 0 if ch == " " else ord(ch) - 96 if "a" <= ch <= "z" else 27
+
+
+@dataclass
+class Piece:
+    """Part of a word: its lattice, the last two classes before it, whether the word ends with it, the places whose outcome counts."""
+
+    lattice: list
+    before: tuple[int, int] = (0, 0)
+    final: bool = True
+    places: slice = slice(None)
+
+
+def pieces(word: str) -> list[Piece]:
+    """A word in parts that are decoded apart.
+
+    After two letters in a row that can only stand for themselves the decoder's state is certain, so a cut there
+    changes nothing. A long stretch without such a place is cut with OVERLAP places of context on both sides.
+    """
+    if len(word) <= LONG:
+        return [Piece(lattice(word))]
+    low = word.lower()
+    double, out, lo, known, begin = double_cost(low), [], 0, (0, 0), 0
+    for c in range(2, len(low)):
+        if c - lo < PIECE:
+            continue
+        p, q, nxt = low[c - 2], low[c - 1], low[c]
+        if p.isalpha() and q.isalpha() and p != q and q != nxt and low[c - 3] != p:
+            out.append(Piece(lattice(low[begin:c], double), known, False, slice(lo - begin, None)))
+            lo = begin = c
+            known = (_class(p), _class(q))
+        elif c - lo >= 8 * PIECE:
+            out.append(Piece(lattice(low[begin : c + OVERLAP], double), known, c + OVERLAP >= len(low), slice(lo - begin, c - begin)))
+            lo, begin, known = c, c - OVERLAP, (0, 0)
+    out.append(Piece(lattice(low[begin:], double), known, True, slice(lo - begin, None)))
     return out
 
 
-def _viterbi(lattices: list, longest: int, model: np.ndarray) -> list[str]:
-    n, width = len(lattices), max((len(o) for x in lattices for o in x), default=1)
+def restored(words: list[str], model: np.ndarray, at_once: int = 1 << 14) -> list[str]:
+    """The most likely plain word behind each of ``words``: Viterbi over their lattices, many together, long words in pieces."""
+    parts: list[Piece] = []
+    of: list[int] = []
+    out: list[list[str]] = [[] for _ in words]
+
+    def flush() -> None:
+        text = [""] * len(parts)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i].lattice))
+        k = 0
+        while k < len(order):
+            j, longest = k, len(parts[order[k]].lattice)
+            while j < len(order) and (j - k + 1) * max(1, len(parts[order[j]].lattice)) <= at_once:
+                longest = len(parts[order[j]].lattice)
+                j += 1
+            j = max(j, k + 1)
+            for i, w in zip(order[k:j], _viterbi([parts[i] for i in order[k:j]], longest, model), strict=True):
+                text[i] = w
+            k = j
+        for i, w in zip(of, text, strict=True):
+            out[i].append(w)
+        parts.clear()
+        of.clear()
+
+    held = 0
+    for i, word in enumerate(words):
+        for piece in pieces(word):
+            parts.append(piece)
+            of.append(i)
+            held += len(piece.lattice)
+            if held > 16 * at_once:  # lattices held at a time
+                flush()
+                held = 0
+    flush()
+    return ["".join(x) for x in out]
+
+
+def _viterbi(parts: list[Piece], longest: int, model: np.ndarray) -> list[str]:
+    n, width = len(parts), max((len(o) for x in parts for o in x.lattice), default=1)
     code = np.full((n, longest, width), -2, np.int64)  # -1: nothing, -2: no such option
     cost = np.full((n, longest, width), -np.inf)
-    for i, x in enumerate(lattices):
-        for p, options in enumerate(x):
+    for i, x in enumerate(parts):
+        for p, options in enumerate(x.lattice):
             for o, (ch, c) in enumerate(options):
-                code[i, p, o] = -1 if not ch else 0 if ch == " " else ord(ch) - 96 if "a" <= ch <= "z" else 27
+                code[i, p, o] = -1 if not ch else _class(ch)
                 cost[i, p, o] = c
     code[code[:, :, 0] == -2, 0], cost[cost[:, :, 0] == -np.inf, 0] = -1, 0.0  # past the end: nothing, free
     # a state is the last two letters; score[i, b, c] is the best path's that ends with them
     score = np.full((n, CLASSES, CLASSES), -np.inf)
-    score[:, 0, 0] = 0
+    score[np.arange(n), [x.before[0] for x in parts], [x.before[1] for x in parts]] = 0
     came = np.zeros((longest, n, CLASSES, CLASSES), np.int8)
     took = np.full((longest, n, CLASSES, CLASSES), -1, np.int8)
     for p in range(longest):
@@ -179,7 +246,8 @@ def _viterbi(lattices: list, longest: int, model: np.ndarray) -> list[str]:
                 came[p][emit, :, to] = np.where(better, best.astype(np.int8), came[p][emit, :, to])
                 took[p][emit, :, to] = np.where(better, np.int8(o), took[p][emit, :, to])
         score = new
-    ends = (score + model[:, :, 0]).reshape(n, -1).argmax(axis=1)
+    final = np.array([x.final for x in parts])[:, None, None]
+    ends = (score + np.where(final, model[:, :, 0], 0.0)).reshape(n, -1).argmax(axis=1)
     b, c = ends // CLASSES, ends % CLASSES
     i = np.arange(n)
     picks = np.empty((n, longest), np.int8)
@@ -187,7 +255,7 @@ def _viterbi(lattices: list, longest: int, model: np.ndarray) -> list[str]:
         picks[:, p] = took[p, i, b, c]
         dropped = code[i, p, picks[:, p]] == -1
         b, c = np.where(dropped, b, came[p, i, b, c]), np.where(dropped, c, b)
-    return ["".join(x[p][picks[k, p]][0] for p in range(len(x))) for k, x in enumerate(lattices)]
+    return ["".join([options[picks[k, p]][0] for p, options in enumerate(x.lattice)][x.places]) for k, x in enumerate(parts)]
 
 
 def _hash(run: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -343,16 +411,16 @@ class Model:
 
 
 def held_out(doc_id="doc_id"):
-    """Whether the id's crc32 (as text) mod 5 is 0: not to be learnt from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether the id's crc32 (as text) mod 5 is 0: not to be learnt from. No id: false."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _g(n1, t1, n0, t0):
-    """G statistic of a feature seen in n1 of t1 toxic and n0 of t0 other documents."""
+def _g(n1, t1: int, n0, t0: int):
+    """G statistic (a column) of a feature seen in n1 of t1 toxic and n0 of t0 other documents."""
     total, seen = t1 + t0, n1 + n0
-    out = 0.0
+    out = F.lit(0.0)
     for o, e in ((n1, seen * t1 / total), (n0, seen * t0 / total), (t1 - n1, (total - seen) * t1 / total), (t0 - n0, (total - seen) * t0 / total)):
-        out = out + np.where(o > 0, 2 * o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-9)), 0)
+        out = out + F.when(o > 0, 2 * o * F.ln(o / e)).otherwise(0.0)
     return out
 
 
@@ -392,6 +460,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     size = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         p = share.get(1, 0) / max(1, sum(share.values()))
+        dropped(seen)
         return Model(characters, np.empty(0, np.uint64), np.empty(0), float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
 
     def rows(batches, inner):
@@ -401,44 +470,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             for a, b in chunks(off):
                 yield from inner(y[a:b], *features(data[off[a] : off[b]], off[a : b + 1] - off[a], characters))
 
-    def count_toxic(batches):
-        total = np.empty(0, np.uint64)
+    def counted(batches):
+        """(h, n1, n0): how many toxic and other documents of a task have each feature."""
 
         def one(y, h, row):
-            yield distinct_pairs(h, row)[0]
-
-        total = np.concatenate([total, *rows(batches, one)])
-        h, n = np.unique(total, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
-
-    in_toxic = seen.filter("y = 1").mapInArrow(count_toxic, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 3")
-    # the features seen most often in toxic documents; as many as the sample is bounded to hold
-    in_toxic = in_toxic.orderBy(F.desc("n"), "h").limit(100_000).toPandas()
-    candidates = np.sort(in_toxic["h"].to_numpy(np.int64).view(np.uint64))
-    n1 = in_toxic.set_index("h")["n"].reindex(candidates.view(np.int64)).to_numpy(np.float64)
-    every = Model(characters, candidates, np.zeros(len(candidates)), 0.0)
-    shipped = docs.sparkSession.sparkContext.broadcast(every)  # at most 100,000 features
+            f, at, _ = distinct_pairs(h, row)
+            yield f, y[at] == 1
 
-    def count_other(batches):
-        total = np.zeros(len(shipped.value.chosen), np.int64)
-
-        def one(y, h, row):
-            f = shipped.value.found(h, row)[0]
-            total[:] += np.bincount(f[f < len(total)], minlength=len(total))
-            return ()
-
-        list(rows(batches, one))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["f", "n"])
+        every = [*rows(batches, one), (np.empty(0, np.uint64), np.empty(0, bool))]
+        h, at = np.unique(np.concatenate([f for f, _ in every]), return_inverse=True)
+        bad = np.concatenate([y for _, y in every])
+        n1 = np.bincount(at[bad], minlength=len(h))
+        n0 = np.bincount(at[~bad], minlength=len(h))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n1, pa.int64()), pa.array(n0, pa.int64())], ["h", "n1", "n0"])
 
-    n0 = np.zeros(len(candidates))
-    for r in seen.filter("y = 0").mapInArrow(count_other, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
-        n0[r["f"]] = r["n"]
     t1, t0 = size[1], size[0]
-    g = _g(n1, t1, n0, t0)
-    good = np.flatnonzero((g >= LEAST_G) & ((n1 + 0.5) / (t1 + 1) >= 4 * (n0 + 0.5) / (t0 + 1)))
-    good = np.sort(good[np.argsort(-g[good], kind="stable")[:FEATURES]])
-    chosen = Model(characters, candidates[good], np.zeros(len(good)), 0.0)
+    sums = seen.mapInArrow(counted, "h long, n1 long, n0 long").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    much = (F.col("n1") + 0.5) / (t1 + 1) >= 4 * (F.col("n0") + 0.5) / (t0 + 1)
+    # all that the statistic selects: each stands in several of the bounded sample's toxic documents
+    selected = sums.filter(much & (_g(F.col("n1"), t1, F.col("n0"), t0) >= LEAST_G)).select("h").toPandas()["h"].to_numpy(np.int64)
+    selected = np.sort(selected.view(np.uint64))
+    chosen = Model(characters, selected, np.zeros(len(selected)), 0.0)
 
     def which(batches):
         def one(y, h, row):
@@ -451,12 +503,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         yield from rows(batches, one)
 
     got = seen.mapInArrow(which, "y int, f array<int>").collect()  # at most 2 * per_class rows
+    dropped(seen)
     x_row = np.repeat(np.arange(len(got)), [len(r["f"]) for r in got])
     x_col = np.array([f for r in got for f in r["f"]], np.int64)
     y = np.array([r["y"] for r in got], np.float64)
     # the sample may hold other shares of the labels than all labelled documents do
     weight = np.where(y == 1, share[1] / t1, share[0] / t0)
-    w, b = _logistic(x_row, x_col, y, len(good) * len(TIMES), weight / weight.mean())
+    w, b = _logistic(x_row, x_col, y, len(selected) * len(TIMES), weight / weight.mean())
     return Model(characters, chosen.chosen, w, b)
 
 
