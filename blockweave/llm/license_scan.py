@@ -4,15 +4,19 @@ Texts are words without marks at their edges, in lower case; shingles are five w
 one shingle of all their words). For a template of t shingles, windows of W = 2^l >= 2t shingles overlap by
 half, so any t neighbouring shingles lie within some window. A window that holds the share c of the
 template has similarity J >= c t / (W + (1 - c) t) > 0.19 at c = 0.8 and W < 4t; with BANDS bands of one row
-the two share a band with probability 1 - (1 - J)^BANDS > 0.99995. A window shares a band only if its least
-shingle under that band's hash is one of the template's, so windows without any template shingle need no
-signature. Retrieved pairs are verified by exact containment of the template's shingles in the window.
+the two share a band with probability 1 - (1 - J)^BANDS > 0.99995.
 
-The templates are a small fixed table (a parameter), sent to the tasks whole.
+Every window of every text has its least shingle hash in each band looked up in an index (window length, band,
+value) -> templates, made once. The least hashes of half windows come from those of their halves, so all window
+lengths together cost two look-ups a shingle and band. Retrieved pairs are verified by exact containment of the
+template's shingles in the window.
+
+The templates are a fixed table (a parameter), sent to the tasks whole; the index grows with them, the work of
+a window does not.
 
 Edge cases: null, empty or short texts have no findings; texts are read whole, whatever their length; equal
-findings in overlapping windows are merged into one span; rows that repeat give their findings each; other
-columns are ignored.
+findings in overlapping windows are merged into one span; without templates (an empty table) there are no
+findings; rows that repeat give their findings each; rows without a doc_id stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +44,13 @@ TEMPLATES: dict[str, str] = {
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0 header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "AGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1 header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "BSD-2-Clause conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Unlicense notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MIT licensed notice": "Licensed under the MIT License",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
@@ -87,18 +98,21 @@ def word_shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix(s + U(k))
 
 
+def window_of(shingles: int) -> int:
+    """The window's length for a template of so many shingles: a power of two, twice as many at least."""
+    return 2 << int(np.ceil(np.log2(shingles)))
+
+
 @dataclass
 class Templates:
-    """Templates with their shingles and signatures, by number of words in a shingle and window length."""
+    """Templates with their shingles, and the index from (window length, band, least hash) to those that have it, by number of words in a shingle."""
 
     texts: dict[str, str]
     names: list[str] = field(default_factory=list)
     sets: list[np.ndarray] = field(default_factory=list)
-    signatures: list[np.ndarray] = field(default_factory=list)
-    k: list[int] = field(default_factory=list)
-    window: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        self.index: dict[int, dict[int, list[dict[int, list[int]]]]] = {}
         for name, text in self.texts.items():
             data = np.frombuffer(text.encode(), np.uint8)
             h = bare_words(data, np.array([0, len(data)]))[0]
@@ -106,46 +120,74 @@ class Templates:
                 continue
             k = min(WORDS, len(h))
             s = np.unique(word_shingles(h, k))
+            bands = self.index.setdefault(k, {}).setdefault(window_of(len(h) - k + 1), [{} for _ in range(BANDS)])
+            for band, least in zip(bands, mix(s[None, :] ^ SEEDS[:, None]).min(axis=1).tolist(), strict=True):
+                band.setdefault(least, []).append(len(self.names))
             self.names.append(name)
             self.sets.append(s)
-            self.signatures.append(mix(s[None, :] ^ SEEDS[:, None]).min(axis=1))
-            self.k.append(k)
-            self.window.append(2 << int(np.ceil(np.log2(len(h) - k + 1))))
-        self.every = {k: np.unique(np.concatenate([s for s, x in zip(self.sets, self.k, strict=True) if x == k])) for k in set(self.k)}
+        # which low bits any indexed value of a window length and band has: most look-ups end here
         self.mask = {}
-        for k, s in self.every.items():
-            self.mask[k] = np.zeros(1 << 16, bool)
-            self.mask[k][(s & U(0xFFFF)).astype(np.int64)] = True
+        for k, lengths in self.index.items():
+            for w, bands in lengths.items():
+                for j, band in enumerate(bands):
+                    self.mask[k, w, j] = np.zeros(1 << 16, bool)
+                    self.mask[k, w, j][[v & 0xFFFF for v in band]] = True
+
+    def retrieved(self, s: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -> set[tuple[int, int, int]]:
+        """(first shingle, end, template) of the windows that share a band with a template.
+
+        ``s``: the k-word shingles; ``first``, ``last``: where those of each row begin and end.
+        """
+        found: set[tuple[int, int, int]] = set()
+        some = last > first
+        first, last = first[some], last[some]
+        if not len(first):
+            return found
+        inside = np.concatenate([s[f:e] for f, e in zip(first.tolist(), last.tolist(), strict=True)]) if len(first) > 1 or first[0] or last[0] < len(s) else s
+        size = last - first
+        longest = max(self.index[k])
+        # blocks of half a window from each row's first shingle on, by half length: (rows' first blocks, starts in the finer blocks)
+        plan, count, half = [], size, 1
+        while half <= longest // 2:
+            begin = np.concatenate(([0], np.cumsum(count)))
+            plan.append((half, begin, count))
+            count = (count + 1) // 2
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            plan[-1] += (np.repeat(begin[:-1], count) + 2 * step,)
+            half *= 2
+        for j in range(BANDS):
+            block = mix(inside ^ SEEDS[j])
+            for half, begin, count, pairs in plan:
+                w = 2 * half
+                if w in self.index[k]:
+                    ahead = np.minimum(block, np.r_[block[1:], block[-1:]])
+                    ends = begin[1:] - 1
+                    ahead[ends] = block[ends]  # a row's last block has none after it
+                    near = np.flatnonzero(self.mask[k, w, j][(ahead & U(0xFFFF)).astype(np.int64)])
+                    table = self.index[k][w][j]
+                    for x, v in zip(near.tolist(), ahead[near].tolist(), strict=True):
+                        for t in table.get(v, ()):
+                            r = int(np.searchsorted(begin, x, "right")) - 1
+                            lo = int(first[r]) + (x - int(begin[r])) * half
+                            found.add((lo, min(lo + w, int(last[r])), t))
+                block = np.minimum.reduceat(block, pairs)
+        return found
 
     def findings(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, str, float, int, int]]:
         """(row, template, containment, start byte, end byte) in a chunk of rows, overlapping ones merged."""
         h, a, b, row = bare_words(data, off)
+        rows = np.arange(len(off) - 1)
+        first, end = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
         out = []
-        for k in self.every:
+        for k in self.index:
             s = word_shingles(h, k)
-            near = np.flatnonzero(self.mask[k][(s & U(0xFFFF)).astype(np.int64)])
-            near = near[row[near] == row[near + k - 1]]
-            hits = near[np.isin(s[near], self.every[k])]
-            if not len(hits):
-                continue
-            first = np.searchsorted(row, row[hits], "left")
-            last = np.searchsorted(row, row[hits], "right") - k + 1  # shingles of the row end here
-            for w in sorted({x for x, kk in zip(self.window, self.k, strict=True) if kk == k}):
-                half = max(1, w // 2)
-                step = (hits - first) // half
-                windows = {(int(f), int(e), int(t)) for f, e, t in zip(first, last, step, strict=True)}
-                windows |= {(f, e, t - 1) for f, e, t in windows if t}
-                for f, e, t in windows:
-                    lo, hi = f + t * half, min(f + t * half + w, e)
-                    own = s[lo:hi]
-                    signature = mix(own[None, :] ^ SEEDS[:, None]).min(axis=1)
-                    for i in range(len(self.names)):
-                        if self.window[i] == w and self.k[i] == k and (signature == self.signatures[i]).any():
-                            inside = np.isin(own, self.sets[i])
-                            c = len(np.unique(own[inside])) / len(self.sets[i])
-                            if c >= CONTAINED:
-                                at = np.flatnonzero(inside)
-                                out.append((int(row[lo]), i, c, int(a[lo + at[0]]), int(b[lo + at[-1] + k - 1])))
+            for lo, hi, t in self.retrieved(s, first, np.maximum(first, end - k + 1), k):
+                own = s[lo:hi]
+                inside = np.isin(own, self.sets[t])
+                c = len(np.unique(own[inside])) / len(self.sets[t])
+                if c >= CONTAINED:
+                    at = np.flatnonzero(inside)
+                    out.append((int(row[lo]), t, c, int(a[lo + at[0]]), int(b[lo + at[-1] + k - 1])))
         out.sort(key=lambda x: (x[0], x[1], x[3], -x[2]))
         merged: list[list] = []
         for x in out:
@@ -158,7 +200,7 @@ class Templates:
 
 def license_findings(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, containment, start, end): spans (byte offsets in UTF-8) of ``docs`` (doc_id, text) that hold a template."""
-    known = Templates(templates or TEMPLATES)
+    known = Templates(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
