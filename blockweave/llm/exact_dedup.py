@@ -12,7 +12,8 @@ A hot text costs one counter per partition and slab; its byte verification is an
 combine, and joins on the fingerprint are plain shuffled joins that adaptive execution can split.
 
 Edge cases: a null text counts as empty; rows with a null doc_id stay as rows of their own with a null
-keep_id unless a copy has an id; repeated doc_ids are counted as rows; other columns are ignored.
+keep_id (all kept) unless a copy has an id; repeated doc_ids are counted as rows, and rows that share text and
+doc_id are all kept or all not; other columns are ignored. ``drop_exact_copies`` leaves one row of such ties.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, written
+from .common import dropped, hinted, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Fingerprints a slab holds on average.
@@ -217,18 +218,19 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose normalised text another row of a smaller doc_id has; all columns stay.
+    """``docs`` with one row for each normalised text, that of the smallest doc_id; all columns stay.
 
-    Rows that share text and doc_id are all kept but one.
+    Rows that tie (the same text and doc_id, or no doc_id in the whole group; ``exact_groups`` calls them all
+    kept) are one row after it. Texts whose fingerprint is alone are passed on; the others are grouped by their
+    bytes, each group with its best row so far, so equal texts of a task are combined before they are sent.
     """
-    groups = exact_groups(docs.select("doc_id", "text"))
-    gone = written(groups.filter("not kept").select(F.col("doc_id").alias("__gone")), "gone")
-    left = docs.join(hinted(gone, 16), F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
-    if twice.isEmpty():
-        return left
-    # repeated ids: decide by row instead
-    keyed = docs.withColumn("__t", normalised())
-    first = keyed.groupBy("__t").agg(F.min("doc_id").alias("__keep"))
-    kept = keyed.join(first, "__t").filter("doc_id <=> __keep")
-    return kept.dropDuplicates(["__t"]).select(*docs.columns)
+    fps = written(docs.select(F.xxhash64(normalised()).alias("fp")), "fingerprints")
+    repeated = written(repeated_fingerprints(fps, fps.count()).select(F.col("fp").alias("__fp")), "repeated")
+    dropped(fps)
+    own = docs.withColumn("__t", normalised())
+    hot = hinted(repeated, 16)
+    same = F.xxhash64("__t") == F.col("__fp")
+    alone = own.join(hot, same, "left_anti").drop("__t")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    first = own.join(hot, same, "left_semi").groupBy("__t").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("__row"))
+    return alone.unionByName(first.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
