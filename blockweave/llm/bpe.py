@@ -7,7 +7,8 @@ Each Python worker keeps a bounded memo of pre-tokens; it only saves repeated wo
 The vocabulary file is a parameter. Its bytes are read through Spark on the driver, the tables are built
 once and broadcast: their size is that of the vocabulary, whatever the corpus.
 
-Edge cases: null text encodes like the empty text (no ids); other columns are ignored or carried along as
+Edge cases: null text encodes like the empty text (no ids); bytes that are no UTF-8 are read as U+FFFD each, and so
+decode to U+FFFD (Python's "replace"); other columns are ignored or carried along as
 they are; a text of any length is one row, and a pre-token of any length takes n log n steps.
 """
 
@@ -210,7 +211,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
             ids: list[np.ndarray] = []
             back: list[bytes] = []
             for at in range(len(batch)):
-                t = texts[at].as_py() or ""
+                t = (texts[at].as_py() or b"").decode("utf-8", "replace")
                 own = np.frombuffer(b"".join(map(get, split(t))), np.int32)
                 ids.append(own)
                 if decoded:
@@ -223,7 +224,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
                     begin, chars, ids, back = at + 1, 0, [], []
         give_back()
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).cast("string").alias("__text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).cast("string").cast("binary").alias("__text"))
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "ids array<int>", *["bytes binary"] * decoded])
     return kept.mapInArrow(run, kinds)
 

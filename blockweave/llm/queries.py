@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import settled
 from ..session import ship
 from . import bpe, embedding_dedup, exact_dedup, license_scan, minhash, mixing, secret_scan, substring_dedup, token_counts, toxicity
 from .common import table
@@ -22,7 +23,7 @@ def query(name: str):
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(spark, sf_dir)
+            return settled(lambda: f(spark, sf_dir), name)
 
         QUERIES[name] = run
         return run

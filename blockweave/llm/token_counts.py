@@ -9,11 +9,16 @@ a running maximum of separator places tells how many tokens a block inherits. Th
 
 Edge cases: an empty file holds no documents; tokens after the last separator form a last document; two
 separators in a row hold an empty document; null and empty texts are written as empty documents; rows that
-repeat are documents each; other columns are ignored.
+repeat are documents each; bytes that are no UTF-8 are read as U+FFFD; other columns are ignored. An id that does
+not fit the width, and a separator that is an id of the vocabulary, are refused before anything is written.
+
+Tasks read and write the files by pyarrow's file systems: local and HDFS paths and S3 (``s3a://`` is read as
+``s3://``). Other stores that only Spark knows are refused by pyarrow.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ BLOCK, GROUP = 1 << 20, 256
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, separator: int, width: int = 2) -> DataFrame:
@@ -42,6 +47,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, sep
     only the files named here count.
     """
     kind = np.dtype(f"<u{width}")
+    ids = bpe.load_vocabulary(docs.sparkSession, path, pattern)[0].value.token
+    if max([separator, *ids]) >= 1 << 8 * width or min([separator, *ids]) < 0:
+        raise ValueError(f"ids up to {max([separator, *ids])} do not fit {width} bytes")
+    if separator in ids:
+        raise ValueError(f"the separator {separator} is an id of the vocabulary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()

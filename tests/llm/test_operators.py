@@ -147,6 +147,10 @@ def test_exact_groups(spark, odd, empty):
     again = odd.union(odd)
     assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(again).collect()) == sorted(first.values())
     lost = spark.createDataFrame([(None, "q"), (4, "q"), (None, "only")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.drop_exact_copies(lost).collect()), key=repr) == [(4, "q"), (None, "only")]
+    ties = spark.createDataFrame([(None, "q"), (None, " q".strip()), (3, "a  b"), (3, "a  b"), (2, "c"), (1, "c")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.drop_exact_copies(ties).collect()), key=repr) == [(1, "c"), (3, "a  b"), (None, "q")]
+    assert [r.kept for r in exact_dedup.exact_groups(ties).filter("doc_id is null or doc_id = 3").collect()] == [True] * 4
     assert sorted(map(repr, [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(lost).collect()])) == sorted(map(repr, [(None, 4, 2, False), (4, 4, 2, True), (None, None, 1, True)]))
 
 
@@ -192,6 +196,12 @@ def test_embedding_groups_are_those_of_all_pairs(spark):
     assert embedding_dedup.embedding_groups(df.filter("false")).count() == 0
 
 
+def test_vectors_without_an_id_are_linked_like_others(spark):
+    rows = [(None, [1.0, 0.0]), (5, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [0.0, 2.0]), (None, [-1.0, 0.0]), (7, [1.0, 0.02]), (None, None)]
+    got = [tuple(r) for r in embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("component_id", F.lit("x"))).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 2, 5, False), (5, 2, 5, True), (7, 2, 5, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (None, 0, None, True)], key=repr)
+
+
 def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(2)
     for scale in (1, 30):
@@ -271,6 +281,26 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     assert got == want
 
 
+def test_texts_that_are_no_utf8(spark, reference):
+    docs = spark.range(1).selectExpr("1L as doc_id", "cast(unhex('61FF62C320') as string) as text")
+    text = b"a\xffb\xc3 ".decode("utf-8", "replace")
+    (r,) = bpe.encode(docs, *bpe.default_vocabulary(), decoded=True).collect()
+    assert r.ids == reference.encode_ordinary(text) and bytes(r.bytes) == text.encode()
+    path, pattern = bpe.default_vocabulary()
+    assert [x.n_tokens for x in token_counts.token_counts(docs, path, pattern, queries.SEPARATOR).collect()] == [len(r.ids)]
+    for f in (minhash.near_groups, exact_dedup.exact_groups, license_scan.license_findings, secret_scan.secrets, substring_dedup.shared_passages, mixing.mixed):
+        f(docs.withColumn("source", F.lit(None).cast("string"))).collect()
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs, none).count() == 1
+
+
+def test_ids_that_no_file_can_hold_are_refused(spark, odd):
+    path, pattern = bpe.default_vocabulary()
+    for separator, width in ((70000, 2), (3, 2), (queries.SEPARATOR, 1), (-1, 2)):
+        with pytest.raises(ValueError):
+            token_counts.write_token_files(odd, "file:///nowhere", path, pattern, separator, width)
+
+
 # ---- licenses and secrets
 
 def test_license_spans(spark, odd, empty):
@@ -289,20 +319,79 @@ def test_license_spans(spark, odd, empty):
     assert license_scan.license_findings(odd).count() == 0 and license_scan.license_findings(empty).count() == 0
 
 
-def test_license_windows_miss_nothing(spark):
-    """Templates at every offset, a few words changed: found wherever exact containment says so."""
+def bare(text):
+    """Words as the scan defines them, by plain string handling."""
+    out = []
+    for w in re.split(r"[\x20\x09-\x0d]+", text):
+        w = re.sub(r"^[^0-9A-Za-z\x80-\U0010ffff]+", "", w)
+        w = re.sub(r"[^0-9A-Za-z\x80-\U0010ffff]+$", "", w)
+        if w:
+            out.append(re.sub("[A-Z]", lambda m: m[0].lower(), w))
+    return out
+
+
+def brute_licenses(text, templates):
+    """Templates of which some stretch as long as the template holds the share of distinct shingles."""
+    words, found = bare(text), set()
+    for name, t in templates.items():
+        tw = bare(t)
+        k = min(5, len(tw))
+        want = {tuple(tw[i : i + k]) for i in range(len(tw) - k + 1)}
+        own = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        n = len(tw) - k + 1
+        if any(len(want.intersection(own[i : i + n])) >= license_scan.CONTAINED * len(want) for i in range(max(1, len(own) - n + 1))):
+            found.add(name)
+    return found
+
+
+def test_license_scan_misses_nothing_that_brute_force_finds():
+    """Templates at every offset, a few words changed; what is found besides must hold the shingles in a window."""
     templates = license_scan.Templates(license_scan.TEMPLATES)
     r = random.Random(5)
-    for name, text in license_scan.TEMPLATES.items():
+    hits = 0
+    for text in license_scan.TEMPLATES.values():
         for _ in range(6):
             words = [w if r.random() > 0.02 else "other" for w in text.split()]
-            full = (text_of(r.randrange(10**6), r.randrange(60)) + " " + " ".join(words) + " " + text_of(r.randrange(10**6), 30)).encode()
-            data = np.frombuffer(full, np.uint8)
-            i = templates.names.index(name)
-            h = license_scan.bare_words(data, np.array([0, len(data)]))[0]
-            s = license_scan.word_shingles(h, templates.k[i])
-            contained = len(np.intersect1d(s, templates.sets[i])) / len(templates.sets[i]) >= license_scan.CONTAINED
-            assert (name in {x[1] for x in templates.findings(data, np.array([0, len(data)]))}) == contained
+            full = text_of(r.randrange(10**6), r.randrange(60)) + " " + " ".join(words) + " " + text_of(r.randrange(10**6), 30)
+            data = np.frombuffer(full.encode(), np.uint8)
+            got = {x[1] for x in templates.findings(data, np.array([0, len(data)]))}
+            want = brute_licenses(full, license_scan.TEMPLATES)
+            assert want <= got
+            hits += len(want)
+    assert hits > 60
+
+
+def test_license_bands_retrieve_as_often_as_they_should():
+    """Of windows that hold four fifths of a template, all but few in 20,000 share a band (there is no other way to a template)."""
+    r, missed, tried = random.Random(8), 0, 0
+    for name, text in license_scan.TEMPLATES.items():
+        one = license_scan.Templates({name: text})
+        words = text.split()
+        for _ in range(60):
+            cut = r.randrange(len(words))
+            own = [w if len(words) < 12 or abs(i - cut) > 0.02 * len(words) else "other" for i, w in enumerate(words)]
+            full = text_of(r.randrange(10**6), r.randrange(200)) + " " + " ".join(own) + " " + text_of(r.randrange(10**6), 200)
+            if name in brute_licenses(full, {name: text}):
+                data = np.frombuffer(full.encode(), np.uint8)
+                tried += 1
+                missed += not one.findings(data, np.array([0, len(data)]))
+    assert tried > 600 and missed == 0
+
+
+def test_license_scan_of_rows_together_and_apart(spark):
+    """Rows of a chunk, short ones and empty ones among them, give what each gives alone; no templates, no findings."""
+    r = random.Random(4)
+    texts = ["", "one", text_of(1, 7)] + [text_of(i, r.randrange(90)) + " " + r.choice(list(license_scan.TEMPLATES.values())) + " " + text_of(i, r.randrange(9)) for i in range(30)]
+    r.shuffle(texts)
+    known = license_scan.Templates(license_scan.TEMPLATES)
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    got = known.findings(np.frombuffer(b"".join(raw), np.uint8), off)
+    want = [(i, *x[1:]) for i, t in enumerate(raw) for x in known.findings(np.frombuffer(t, np.uint8), np.array([0, len(t)]))]
+    assert sorted(got) == sorted(want) and len({x[0] for x in got}) == 30
+    docs = spark.createDataFrame([(None, license_scan.TEMPLATES["MIT notice"], "x")], "doc_id long, text string, license string")
+    assert license_scan.license_findings(docs).first()["license"] == "MIT notice"
+    assert license_scan.license_findings(docs, {}).count() == 0
 
 
 def test_secrets(spark, odd, empty):
@@ -394,6 +483,25 @@ def test_mixed_disguises_are_scored_like_plain_words(spark):
     assert [got[i] for i, _ in probe] == [1] * len(bad) + [0] * len(good)
 
 
+def test_long_words_are_decoded_in_pieces_like_whole_ones():
+    rng, r = np.random.default_rng(3), random.Random(1)
+    model = np.log(rng.dirichlet(np.ones(toxicity.CLASSES) * 0.3, (toxicity.CLASSES, toxicity.CLASSES)))
+    for letters in ("abcdefghijklmnopqrstuvwxyz0134578@$!aaeeiioo", "01345678@$!"):
+        for n in (toxicity.LONG + 1, 2500):
+            word = "".join(r.choice(letters) for _ in range(n))
+            whole = toxicity._viterbi([toxicity.Piece(toxicity.lattice(word))], n, model)
+            assert toxicity.restored([word, "x1"], model)[:1] == whole and (len(toxicity.pieces(word)) > 1 or n < 1000)
+
+
+def test_a_word_of_two_million_characters(spark):
+    import base64
+
+    blob = base64.b64encode(random.Random(2).randbytes(1_500_000)).decode()
+    docs = spark.createDataFrame([(1, "river " + blob), (None, "x 1d1ot")], "doc_id long, text string")
+    got = toxicity.toxicity(docs, spark.createDataFrame([(2, 1)], "doc_id long, toxic int")).collect()
+    assert {(r.doc_id, r.held_out) for r in got} == {(1, False), (None, False)}
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(odd, none).collect()} == {0}
@@ -406,7 +514,7 @@ def test_held_out_accuracy(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").select("predicted", "toxic").collect()
     true = sum(r.predicted and r.toxic for r in rows)
-    assert true >= 0.85 * sum(r.toxic for r in rows) and true >= 0.95 * sum(r.predicted for r in rows)
+    assert true >= 0.9 * sum(r.toxic for r in rows) and true >= 0.95 * sum(r.predicted for r in rows)
 
 
 # ---- substring dedup
