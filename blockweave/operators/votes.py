@@ -31,7 +31,8 @@ def vote_scores(targets: DataFrame, bases: DataFrame, exclude_same: bool = True,
 
 def best_base(votes: DataFrame) -> DataFrame:
     """(target_id, base_id, votes): most votes, then the smallest base id in string order."""
-    return votes.groupBy("target_id").agg(F.max(F.struct("votes")).alias("top")).join(votes, "target_id").filter("votes = top.votes").groupBy("target_id", "votes").agg(F.min(F.struct(F.col("base_id").cast("string").alias("s"), F.col("base_id"))).alias("x")).select("target_id", "x.base_id", "votes")
+    order = F.struct((-F.col("votes")).alias("v"), F.col("base_id").cast("string").alias("s"), F.col("base_id"))
+    return votes.groupBy("target_id").agg(F.min(order).alias("x")).select("target_id", "x.base_id", (-F.col("x.v")).alias("votes"))
 
 
 def first_seen_votes(targets: DataFrame, bases: DataFrame) -> DataFrame:
@@ -51,7 +52,3 @@ def best_base_first_seen(votes: DataFrame, ranks: DataFrame, threshold: int = 1)
     top = votes.join(ranks, "base_id").groupBy("target_id").agg(F.min(order).alias("x"))
     return top.select("target_id", "x.base_id", (-F.col("x.v")).alias("votes")).filter(F.col("votes") >= max(1, threshold))
 
-
-def candidates_by_feature(features: DataFrame) -> DataFrame:
-    """(image_id, transform_index 0's place): what the coordinate hint reads."""
-    return features.filter("transform_index = 0").select("image_id", "row", "col")

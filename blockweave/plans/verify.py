@@ -19,11 +19,23 @@ def digests(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def fnv1a64(files: DataFrame, content: str = "content", name: str = "fnv") -> DataFrame:
-    """``files`` with the fold of the content's bytes (BIGINT of the same bits): xor, then multiply."""
-    with u64.wrapping(files.sparkSession):
-        places = F.when(F.octet_length(content) > 0, F.sequence(F.lit(1), F.octet_length(content))).otherwise(F.array().cast("array<int>"))
-        values = F.transform(places, lambda i: F.conv(F.hex(F.substring(F.col(content).cast("binary"), i, F.lit(1))), 16, 10).cast("long"))
-        return files.withColumn(name, u64.fnv(values))
+    """``files`` with the fold of the content's bytes (BIGINT of the same bits): xor, then multiply. All contents of a batch step together."""
+
+    def fold(x: pd.Series) -> pd.Series:
+        raw = [bytes(v) if v is not None else b"" for v in x]
+        order = np.argsort([-len(v) for v in raw], kind="stable")
+        size = np.array([len(raw[i]) for i in order])
+        data, start = np.frombuffer(b"".join(raw[i] for i in order), np.uint8).astype(np.uint64), np.concatenate(([0], np.cumsum(size)))[:-1]
+        h, factor = np.full(len(raw), u64.FOLD_START, np.uint64), np.uint64(u64.FOLD_FACTOR)
+        live = len(raw)
+        for j in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -j, "left"))  # the longest come first: those that still have a byte
+            h[:live] = (h[:live] ^ data[start[:live] + j]) * factor
+        out = np.empty(len(raw), np.int64)
+        out[order] = h.view(np.int64)
+        return pd.Series([v if y is not None else None for v, y in zip(out.tolist(), x, strict=True)], dtype="Int64")
+
+    return files.withColumn(name, F.pandas_udf(fold, "long")(F.col(content).cast("binary")))
 
 
 def zlib_bytes(content: str) -> Column:

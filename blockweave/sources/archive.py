@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import json
 import os
+import posixpath
+import re
 import zipfile
 from collections.abc import Iterable
 
@@ -37,6 +39,26 @@ def write_archive_of(path: str, manifest: DataFrame, bases: DataFrame, deltas: D
     return write_archive(path, entries, stream(bases), stream(deltas))
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes rows (name, content) as files below ``folder``, each by the task that holds it (a task that runs again writes the same); how many."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                path = posixpath.normpath(f"{root}/{name}")
+                if not path.startswith(posixpath.normpath(root) + "/"):
+                    raise ValueError(f"{name} leaves the folder")
+                store.create_dir(posixpath.dirname(path), recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("name", "content").mapInPandas(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def manifest_of(z: zipfile.ZipFile) -> dict:
     """The archive's manifest, which must be there and be a table of entries."""
     if "manifest.json" not in z.namelist():

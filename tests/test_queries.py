@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from blockweave.plans import queries, scan_queries  # noqa: F401
+from blockweave.plans import file_queries, queries, scan_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
