@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,14 @@ PREFIXES = (4, 5, 6, 7, 8)
 PER_CLASS = 3000
 #: Characters from which a word is decoded in pieces, of a piece at least, and of context where a cut is not exact.
 LONG, PIECE, OVERLAP = 512, 96, 32
+#: Paths up to which a lattice's paths are scored one by one.
+FEW_PATHS = 16
 #: Least G statistic of a selected feature; penalty of the fit.
 LEAST_G, L2 = 18.0, 0.1
 #: A feature counts once for each of these numbers of times that a document has it.
 TIMES = (1, 2, 4)
+#: Words that a generation of a worker's memo holds, of this many characters at most.
+MEMO, MEMO_CHARS = 100_000, 64
 #: Character classes: 0 the edge of a word, 1-26 letters, 27 any other letter.
 CLASSES = 28
 
@@ -61,6 +66,10 @@ LETTER[128:] = True
 CLASS = np.zeros(256, np.int64)
 CLASS[65:91] = CLASS[97:123] = np.arange(1, 27)
 CLASS[128:] = 27
+#: The class of a character of a restored word in ASCII: a space is an edge, "?" is any letter beyond ASCII.
+PLAIN_CLASS = np.full(128, 27, np.int64)
+PLAIN_CLASS[97:123] = np.arange(1, 27)
+PLAIN_CLASS[32] = 0
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SYMBOL = np.zeros(256, bool)
@@ -107,7 +116,11 @@ def character_model(texts: DataFrame) -> np.ndarray:
 
 def double_cost(low: str) -> float:
     """The cost of dropping one of two equal letters in a word: less where all its letters are doubled."""
-    stretches = [len(list(g)) for ch, g in groupby(low.replace(" ", "")) if ch.isalpha()]
+    solid = low.replace(" ", "")
+    first = next((i for i, ch in enumerate(solid) if ch.isalpha()), len(solid))
+    if solid[first : first + 1] != solid[first + 1 : first + 2]:  # most words: the first letter stands once
+        return DOUBLE_COST
+    stretches = [len(list(g)) for ch, g in groupby(solid) if ch.isalpha()]
     return REPEAT_COST if len(stretches) > 1 and min(stretches) > 1 else DOUBLE_COST
 
 
@@ -198,8 +211,13 @@ def restored(words: list[str], model: np.ndarray, at_once: int = 1 << 14) -> lis
         of.clear()
 
     held = 0
+    few: list[tuple[int, list]] = []
     for i, word in enumerate(words):
-        for piece in pieces(word):
+        own = pieces(word)
+        if len(own) == 1 and prod(map(len, own[0].lattice)) <= FEW_PATHS:
+            few.append((i, own[0].lattice))
+            continue
+        for piece in own:
             parts.append(piece)
             of.append(i)
             held += len(piece.lattice)
@@ -207,9 +225,63 @@ def restored(words: list[str], model: np.ndarray, at_once: int = 1 << 14) -> lis
                 flush()
                 held = 0
     flush()
+    for (i, _), w in zip(few, _best_of_few([x for _, x in few], model), strict=True):
+        out[i].append(w)
     return ["".join(x) for x in out]
 
 
+def _best_of_few(lattices: list[list], model: np.ndarray) -> list[str]:
+    """The best path of lattices with few paths, each path scored whole: what Viterbi's recursion gives, at less cost."""
+    if not lattices:
+        return []
+    texts, costs, count = [], [], []
+    for x in lattices:
+        paths = [("", 0.0)]
+        for options in x:
+            paths = [(t + options[0][0], c + options[0][1]) for t, c in paths] if len(options) == 1 else [(t + ch, c + y) for t, c in paths for ch, y in options]
+        texts += [t for t, _ in paths]
+        costs += [c for _, c in paths]
+        count.append(len(paths))
+    # every path as classes between two edges before it and one after it
+    flat = PLAIN_CLASS[np.frombuffer("".join(f"  {t} " for t in texts).encode("ascii", "replace"), np.uint8)]
+    size = np.array([len(t) for t in texts])
+    start = np.concatenate(([0], np.cumsum(size + 3)))[:-1]
+    upto = np.concatenate(([0.0], np.cumsum(model.reshape(-1)[(flat[:-2] * CLASSES + flat[1:-1]) * CLASSES + flat[2:]])))
+    score = np.array(costs) + upto[start + size + 1] - upto[start]
+    out, at = [], 0
+    for n in count:
+        out.append(texts[at + int(score[at : at + n].argmax())])
+        at += n
+    return out
+
+
+_MEMO: dict = {"model": None, "young": {}, "old": {}}
+
+
+def remembered(words: list[str], model: np.ndarray) -> dict[str, str]:
+    """``restored`` for distinct words, most of which a worker has met before: a young and an old generation of bounded size."""
+    if _MEMO["model"] is not model and (_MEMO["model"] is None or not np.array_equal(_MEMO["model"], model)):
+        _MEMO.update(model=model, young={}, old={})
+    young, old = _MEMO["young"], _MEMO["old"]
+    out, fresh = {}, []
+    for w in words:
+        known = young.get(w)
+        if known is None:
+            known = old.get(w)
+            if known is None:
+                fresh.append(w)
+                continue
+            young[w] = known
+        out[w] = known
+    for w, plain in zip(fresh, restored(fresh, model), strict=True):
+        out[w] = plain
+        if len(w) <= MEMO_CHARS:
+            young[w] = plain
+    if len(young) > MEMO:
+        _MEMO.update(young={}, old=young)
+    return out
+
+
 def _viterbi(parts: list[Piece], longest: int, model: np.ndarray) -> list[str]:
     n, width = len(parts), max((len(o) for x in parts for o in x.lattice), default=1)
     code = np.full((n, longest, width), -2, np.int64)  # -1: nothing, -2: no such option
@@ -358,8 +430,7 @@ def features(data: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.n
             raw_row.append(int(row[g]))
     if not raw:
         return h, r
-    distinct = list(dict.fromkeys(raw))
-    plain_of = dict(zip(distinct, restored(distinct, model), strict=True))
+    plain_of = remembered(list(dict.fromkeys(raw)), model)
     parts = [(w.encode(), r) for x, r in zip(raw, raw_row, strict=True) for w in plain_of[x].split(" ")]
     words, raw_row = [w for w, _ in parts], [r for _, r in parts]
     buffer = np.frombuffer(b"".join(words), np.uint8)
