@@ -48,7 +48,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled documents of each label that the fit takes at most.
 PER_CLASS = 3000
 #: Characters from which a word is decoded in pieces, of a piece at least, and of context where a cut is not exact.
-LONG, PIECE, OVERLAP = 512, 96, 32
+LONG, PIECE, OVERLAP = 512, 96, 128
 #: Paths up to which a lattice's paths are scored one by one.
 FEW_PATHS = 16
 #: Least G statistic of a selected feature; penalty of the fit.
