@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Sum of absolute differences of a component up to which blocks count as similar; share of equal cells for FPM.
 TOLERANCE, SAME_POSITION = 64, 0.6
+#: Target rows that share a copy of their base grid in the tolerant any-position encoding.
+STRIPE = 32
 
 
 # ---- comparing blocks
@@ -194,40 +196,55 @@ def dchash_instructions(target: DataFrame, base: DataFrame, min_copy: int = 1) -
 def dchash_instructions_tolerant(target: DataFrame, base: DataFrame, min_copy: int = 1, tolerance: int = TOLERANCE) -> DataFrame:
     """Any-position encoding that also copies similar blocks: a run begins where block keys are equal and goes on while blocks are within the tolerance.
 
-    One task a target row, with the base's rows of the pair (a grid is bounded by its image).
+    A run may pass through blocks whose keys differ, so it is no equi-join: STRIPE target rows of a pair walk beside
+    its base grid (bounded by its image), which is sent once for each stripe and indexed by key.
     """
-    t = target.groupBy("pair_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "comps"))).alias("cells"))
+    t = target.groupBy("pair_id", F.floor(F.col("row") / STRIPE).alias("stripe")).agg(F.array_sort(F.collect_list(F.struct("row", "col", "comps"))).alias("cells"))
     b = base.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "comps"))).alias("base"))
-    rows = t.join(b, "pair_id").select("pair_id", "row", "cells", "base")
+    stripes = t.join(b, "pair_id").select("pair_id", "cells", "base")
+
+    def blocks(cells):
+        width = max(c["col"] for c in cells) + 1
+        flat = np.array([[np.asarray(x, np.int64) for x in c["comps"]] for c in cells])
+        return flat.reshape(-1, width, *flat.shape[1:])
+
+    def key(grid):
+        return ((grid[..., 0, [0, 1, 8, 9]] >> 1) & 255) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
 
     def run(batches):
         for batch in batches:
             out = []
-            for pair, row, cells, grid in batch.itertuples(index=False):
-                own = np.array([[np.asarray(x, np.int64) for x in c["comps"]] for c in cells])
-                width = max(c["col"] for c in grid) + 1
-                all_base = np.array([[np.asarray(x, np.int64) for x in c["comps"]] for c in grid]).reshape(-1, width, *own.shape[1:])
-                low = [0, 1, 8, 9]
-                keys = (own[:, 0, low] >> 1) & 255, (all_base[:, :, 0, low] >> 1) & 255
-                col = 0
-                while col < len(own):
-                    best, at = 0, None
-                    for r, c in np.argwhere((keys[1] == keys[0][col]).all(axis=-1)):
-                        n = min(len(own) - col, width - c)
-                        near = np.abs(own[col : col + n] - all_base[r, c : c + n]).sum(axis=-1).max(axis=-1) <= tolerance
-                        n = n if near.all() else int(near.argmin())
-                        if n > best:
-                            best, at = n, (int(r), int(c))
-                    if at and best >= min_copy:
-                        out.append((pair, "COPY", row, col, *at, best, None))
-                        col += best
-                    else:
-                        out.append((pair, "INSERT", row, col, None, None, None, [x.tolist() for x in own[col]]))
-                        col += 1
+            for pair, cells, grid in batch.itertuples(index=False):
+                own_rows, all_base = blocks(cells), blocks(grid)
+                width, first = all_base.shape[1], cells[0]["row"]
+                base_keys = key(all_base).ravel()
+                order = np.argsort(base_keys, kind="stable")  # row-major among equal keys
+                base_keys = base_keys[order]
+                for row, (own, keys) in enumerate(zip(own_rows, key(own_rows), strict=True), first):
+                    col = 0
+                    while col < len(own):
+                        best, at, left = 0, None, len(own) - col
+                        for place in order[slice(*np.searchsorted(base_keys, (keys[col], keys[col] + 1)))].tolist():
+                            r, c = divmod(place, width)
+                            n = min(left, width - c)
+                            if n <= best:  # a tie goes to the first
+                                continue
+                            near = np.abs(own[col : col + n] - all_base[r, c : c + n]).sum(axis=-1).max(axis=-1) <= tolerance
+                            n = n if near.all() else int(near.argmin())
+                            if n > best:
+                                best, at = n, (r, c)
+                            if best == left:
+                                break
+                        if at and best >= min_copy:
+                            out.append((pair, "COPY", row, col, *at, best, None))
+                            col += best
+                        else:
+                            out.append((pair, "INSERT", row, col, None, None, None, [x.tolist() for x in own[col]]))
+                            col += 1
             yield pd.DataFrame(out, columns=["pair_id", "kind", "t_row", "t_col", "b_row", "b_col", "length", "block"]).astype({"b_row": "Int64", "b_col": "Int64", "length": "Int64"})
 
     kinds = f"pair_id {dict(target.dtypes)['pair_id']}, kind string, t_row int, t_col int, b_row int, b_col int, length int, block array<array<smallint>>"
-    return _numbered(coalesced(rows.mapInPandas(run, kinds)))
+    return _numbered(coalesced(stripes.mapInPandas(run, kinds)))
 
 
 def coalesced(instructions: DataFrame) -> DataFrame:

@@ -1,26 +1,26 @@
 """Greedy base selection: each item in scan order against the earlier items that were registered as bases.
 
-The order matters only among items that are candidates of each other, so votes and pair results are computed
-for all pairs at once. Then waves decide items: one is decided as soon as its most preferred candidate that may
-still be a base is known to be one, or none is left. Every wave is a join and an aggregation over the pairs
+The order matters only among items that are candidates of each other, so votes are computed for all pairs at
+once. Then waves decide items: one is decided as soon as its most preferred candidate that may still be a base
+is known to be one, or none is left. Only that pair's result is asked for: one an item, whatever its candidates. Every wave is a join and an aggregation over the pairs
 of undecided items; it decides the first of them at least, and of a large group of alike items nearly all, as
 these prefer the same first base. What an item without a match reports (its best sub-threshold vote) is
 filled in afterwards, when it is known which items are bases.
 
 Items: (image_id, rank, size, failed). Votes: (target_id, base_id, votes, first_pos), base before target.
-Results: (target_id, base_id, success, compressed_size) of each pair with enough votes; a missing row counts as
-a call that raised.
+Results: (target_id, base_id, success, compressed_size), as a table or as a function of the pairs (target_id,
+base_id) of a wave; a missing row counts as a call that raised.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import ranked, running_sums
-from ..scratch import written
+from ..scratch import Pile, dropped, written
 
 THRESHOLD, MIN_RATIO = 2, 1.05
 
@@ -55,33 +55,36 @@ def outcome(original: Column, success: Column, size: Column, min_ratio: float, f
     return {"status": status, "reason": reason, "ratio": ratio, "compressed_size": F.when(deduped, size).otherwise(original)}
 
 
-def scan(items: DataFrame, votes: DataFrame, results: DataFrame, threshold: int = THRESHOLD, min_ratio: float = MIN_RATIO, force: bool = False) -> DataFrame:
+def scan(items: DataFrame, votes: DataFrame, results: DataFrame | Callable[[DataFrame], DataFrame], threshold: int = THRESHOLD, min_ratio: float = MIN_RATIO, force: bool = False) -> DataFrame:
     """(image_id, rank, status, reason, base, votes, ratio, original_size, compressed_size) of every item."""
     threshold = max(1, threshold)
     items = written(items.select(F.col("image_id").cast("string"), F.col("rank").cast("long"), F.col("size").cast("long"), F.col("failed").cast("boolean")), "items")
     votes = written(votes, "votes")
-    pairs = votes.filter(F.col("votes") >= threshold).join(results, ["target_id", "base_id"], "left")
     ids = items.select("image_id", "rank", "size")
-    pairs = pairs.join(ids.select(F.col("image_id").alias("target_id"), F.col("rank").alias("t_rank"), F.col("size").alias("t_size")), "target_id").join(ids.select(F.col("image_id").alias("base_id"), F.col("rank").alias("b_rank")), "base_id")
-    pairs = written(pairs, "pairs")
-    bases = items.filter("not failed").select("image_id").join(pairs.select(F.col("target_id").alias("image_id")).distinct(), "image_id", "left_anti")
-    bases = written(bases.select(F.col("image_id").alias("base_id"), F.lit(True).alias("is_base")), "bases")
-    undecided, waves = pairs, []
-    x = F.col("x")
+    pairs = votes.filter(F.col("votes") >= threshold).join(ids.select(F.col("image_id").alias("target_id"), F.col("rank").alias("t_rank"), F.col("size").alias("t_size")), "target_id").join(ids.select(F.col("image_id").alias("base_id"), F.col("rank").alias("b_rank")), "base_id")
+    undecided = written(pairs, "pairs")
+    first = items.filter("not failed").select("image_id").join(undecided.select(F.col("target_id").alias("image_id")).distinct(), "image_id", "left_anti")
+    first = written(first.select(F.col("image_id").alias("base_id"), F.lit(True).alias("is_base")), "bases")
+    waves, x = Pile("waves"), F.col("x")
     while not undecided.isEmpty():
-        rows = undecided.join(bases, "base_id", "left")
-        order = F.struct((-F.col("votes")).alias("v"), "first_pos", "b_rank", "is_base", "base_id", "success", "compressed_size")
-        best = rows.groupBy("target_id", "t_size").agg(F.min(F.when(F.coalesce("is_base", F.lit(True)), order)).alias("x"))
-        ready = best.filter(x.isNull() | F.coalesce(x["is_base"], F.lit(False)))
-        result = outcome(F.col("t_size"), x["success"], x["compressed_size"], min_ratio, force)
-        alone = {"status": "new_base", "reason": "no_match"}
-        out = {k: F.when(x.isNull(), F.lit(alone[k]) if k in alone else F.lit(0.0) if k == "ratio" else F.col("t_size")).otherwise(c) for k, c in result.items()}
-        wave = written(ready.select(F.col("target_id").alias("image_id"), *[c.alias(k) for k, c in out.items()], x["base_id"].alias("base"), (-x["v"]).alias("votes")), "wave")
-        waves.append(wave)
-        bases = written(bases.union(wave.select("image_id", F.col("status") != "deduped")), "bases")
-        undecided = written(undecided.join(wave.select(F.col("image_id").alias("target_id")), "target_id", "left_anti"), "undecided")
+        known = waves.union()
+        bases = first if known is None else first.union(known.select("image_id", F.col("status") != "deduped"))
+        order = F.struct((-F.col("votes")).alias("v"), "first_pos", "b_rank", "is_base", "base_id")
+        best = undecided.join(bases, "base_id", "left").groupBy("target_id", "t_size").agg(F.min(F.when(F.coalesce("is_base", F.lit(True)), order)).alias("x"))
+        ready = written(best.filter(x.isNull() | F.coalesce(x["is_base"], F.lit(False))).select("target_id", "t_size", x["base_id"].alias("base_id"), (-x["v"]).alias("votes")), "ready")
+        asked = ready.filter("base_id is not null").select("target_id", "base_id")
+        found = (results(asked) if callable(results) else results).select("target_id", "base_id", "success", "compressed_size")
+        none = F.col("base_id").isNull()
+        result = outcome(F.col("t_size"), F.col("success"), F.col("compressed_size"), min_ratio, force)
+        alone = {"status": F.lit("new_base"), "reason": F.lit("no_match"), "ratio": F.lit(0.0), "compressed_size": F.col("t_size")}
+        out = [F.when(none, alone[k]).otherwise(c).alias(k) for k, c in result.items()]
+        waves.add(written(ready.join(found, ["target_id", "base_id"], "left").select(F.col("target_id").alias("image_id"), *out, F.col("base_id").alias("base"), "votes"), "wave"))
+        rest = written(undecided.join(ready.select("target_id"), "target_id", "left_anti"), "undecided")
+        dropped(undecided, ready)
+        undecided = rest
     nothing = "image_id string, status string, reason string, ratio double, compressed_size long, base string, votes long"
-    matched = reduce(DataFrame.union, waves) if waves else items.sparkSession.createDataFrame([], nothing)
+    matched = waves.union()
+    matched = items.sparkSession.createDataFrame([], nothing) if matched is None else matched
     known = items.join(matched, "image_id", "left")
     known = known.withColumn("status", F.when(F.col("failed"), "failed").otherwise(F.coalesce("status", F.lit("new_base")))).withColumn("reason", F.when(F.col("failed"), "feature extraction failed").otherwise(F.coalesce("reason", F.lit("no_match"))))
     known = written(known, "statuses")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import u64
-from ..scratch import written
+from ..scratch import Pile, written
 from ..session import ship
 from ..sources import archive, engine, jpeg
 from . import greedy
@@ -66,7 +66,7 @@ def pair_results(pairs: DataFrame, files: DataFrame, options: engine.CompressOpt
 
 
 def scan(spark: SparkSession, folder: str, threshold: int = greedy.THRESHOLD, min_ratio: float = greedy.MIN_RATIO, force: bool = False, options: engine.CompressOptions | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scanned, files, results): the status of every file below ``folder``, the files, and the pair results with their packages."""
+    """(scanned, files, results): the status of every file below ``folder``, the files, and the results of the pairs that the scan tried with their packages."""
     ship(spark)
     options = options or engine.CompressOptions()
     files = written(relative_files(spark, folder), "files")
@@ -74,9 +74,19 @@ def scan(spark: SparkSession, folder: str, threshold: int = greedy.THRESHOLD, mi
     bad = found.filter("error is not null").select("image_id", F.lit(True).alias("failed"))
     items = written(files.select("image_id", "rank", "size").join(bad, "image_id", "left").select("image_id", "rank", "size", F.coalesce("failed", F.lit(False)).alias("failed")), "items")
     votes = written(greedy.ordered_votes(found.filter("error is null").select("image_id", "transform_index", "hash"), items), "votes")
-    results = written(pair_results(votes.filter(F.col("votes") >= max(1, threshold)), files, options), "results")
-    scanned = written(greedy.scan(items, votes, results.select("target_id", "base_id", "success", "compressed_size"), threshold, min_ratio, force), "scanned")
-    return scanned, files, results
+    done, last = Pile("results"), []  # a table is read by its wave before the pile may replace it
+
+    def result_of(pairs: DataFrame) -> DataFrame:
+        while last:
+            done.add(last.pop())
+        last.append(written(pair_results(pairs, files, options), "results"))
+        return last[0]
+
+    scanned = written(greedy.scan(items, votes, result_of, threshold, min_ratio, force), "scanned")
+    for table in last:
+        done.add(table)
+    results = done.union()
+    return scanned, files, spark.createDataFrame([], RESULT) if results is None else results
 
 
 def detailed(scanned: DataFrame, results: DataFrame) -> DataFrame:

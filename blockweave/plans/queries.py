@@ -120,7 +120,8 @@ def _trigrams(df: DataFrame, key: str) -> DataFrame:
     select target_id, base_id, votes from v qualify row_number() over (partition by target_id order by votes desc, base_id) = 1 and votes >= 2""",
 )
 def document_passage_votes(spark, sf_dir):
-    docs, items = _trigrams(load(spark, sf_dir, "documents"), "doc_id"), _trigrams(load(spark, sf_dir, "benchmark"), "item_id")
+    # the items' trigrams are written, so that their size is known when the join is planned: small ones are broadcast, and the documents' are not shuffled
+    docs, items = _trigrams(load(spark, sf_dir, "documents"), "doc_id"), written(_trigrams(load(spark, sf_dir, "benchmark"), "item_id"), "trigrams")
     return votes.best_base(votes.vote_scores(docs, items, exclude_same=False, distinct=True)).filter("votes >= 2")
 
 

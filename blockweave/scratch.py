@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,30 @@ def dropped(*tables: DataFrame) -> None:
         deleted(df.sparkSession, df.scratch_path)
 
 
+class Pile:
+    """Tables of one schema made by ``written``, added one by one. Eight of a level become one of the next: a plan over
+    all of them stays short, and a row is written again only as often as the logarithm of their number."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+        self.levels: list[list[DataFrame]] = []
+
+    def add(self, table: DataFrame, level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(table)
+        if len(self.levels[level]) == 8:
+            full, self.levels[level] = self.levels[level], []
+            merged = written(reduce(DataFrame.union, full), self.name)
+            dropped(*full)
+            self.add(merged, level + 1)
+
+    def union(self) -> DataFrame | None:
+        """All rows; None before the first table."""
+        tables = [t for level in self.levels for t in level]
+        return reduce(DataFrame.union, tables) if tables else None
+
+
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make`` returns; if it made scratch tables, its rows are written and those tables deleted."""
     made: list[str] = []

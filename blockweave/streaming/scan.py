@@ -52,8 +52,8 @@ class IncrementalScan:
         own = found.filter("error is null").select("image_id", "transform_index", "hash")
         votes = greedy.ordered_votes(own.unionByName(known.select("image_id", "transform_index", "hash")), every)
         votes = written(votes.join(files.select(F.col("image_id").alias("target_id")), "target_id", "left_semi"), "votes")
-        results = self.result_of(votes.filter(F.col("votes") >= max(1, self.settings[0])), files.unionByName(known_files))
-        scanned = written(greedy.scan(every, votes, results, *self.settings).join(files.select("image_id"), "image_id", "left_semi"), "scanned")
+        all_files = files.unionByName(known_files)
+        scanned = written(greedy.scan(every, votes, lambda pairs: self.result_of(pairs, all_files), *self.settings).join(files.select("image_id"), "image_id", "left_semi"), "scanned")
         self._write(scanned.withColumn("batch", F.lit(batch).cast("long")).select([c.split()[0] for c in STATUSES.split(", ")]), "statuses", batch)
         new = scanned.filter("status in ('new_base', 'kept_original')").select("image_id", "rank")
         self._write(own.join(new, "image_id").select("image_id", "transform_index", "hash", "rank"), "bases", batch)

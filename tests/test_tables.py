@@ -34,6 +34,18 @@ def test_encoders_agree_with_the_single_pair_engine(spark):
             assert shown(f(t, b)) == want
 
 
+def test_tolerant_encoder_over_several_stripes(spark):
+    from blockweave.sources import engine
+
+    rng = np.random.default_rng(5)
+    some = rng.integers(-300, 300, (4, 2, 64)).astype(np.int16)
+    target, base = (some[rng.integers(0, 4, (delta.STRIPE + 3, 5))] for _ in range(2))
+    target = target + rng.integers(0, 2, target.shape).astype(np.int16)  # some blocks within the tolerance, some not
+    want = [(x.t_row, x.t_col, x.b_row, x.b_col, x.length) if isinstance(x, package.Copy) else (x.t_row, x.t_col) for x in engine.dchash(target, base, False)]
+    got = shown(delta.dchash_instructions_tolerant(cells(spark, target), cells(spark, base)))
+    assert got == want and {len(x) for x in got} == {2, 5}
+
+
 def test_random_grids_replay(spark):
     rng = np.random.default_rng(3)
     some = rng.integers(-300, 300, (3, 2, 64)).astype(np.int16)
@@ -168,6 +180,28 @@ def test_scan_is_the_sequential_scan(spark, force):
     assert {r.image_id: (r.status, r.base, r.votes) for r in got} == sequential(items, votes, results, force=force)
 
 
+def test_a_chain_of_waves_asks_for_one_pair_an_item(spark):
+    """Every item depends on the one before: as many waves as items, more than a pile keeps apart."""
+    n, asked = 12, []
+    items = [(f"f{i:02}", i, 1000, False) for i in range(n)]
+    votes = {(f"f{t:02}", f"f{b:02}"): (9 if b == t - 1 else 3, 1) for t in range(n) for b in (t - 1, t - 2) if b >= 0}
+    results = {pair: (True, 500) for pair in votes}
+    table = spark.createDataFrame([(*k, *v) for k, v in results.items()], "target_id string, base_id string, success boolean, compressed_size long")
+
+    def result_of(pairs):
+        asked.extend((r.target_id, r.base_id) for r in pairs.collect())
+        return table
+
+    got = greedy.scan(
+        spark.createDataFrame(items, "image_id string, rank long, size long, failed boolean"),
+        spark.createDataFrame([(*k, *v) for k, v in votes.items()], "target_id string, base_id string, votes long, first_pos int"),
+        result_of,
+    ).collect()
+    assert {r.image_id: (r.status, r.base, r.votes) for r in got} == sequential(items, votes, results)
+    tried = [t for t, _ in asked]
+    assert len(tried) == len(set(tried)) and set(asked) < set(votes)
+
+
 def test_decisions(spark):
     rows = [(100, None, None), (100, True, 50), (105, True, 100), (100, False, 0), (100, True, 200), (100, True, 0), (100, True, 100)]
     df = spark.createDataFrame(rows, "o long, s boolean, c long")
