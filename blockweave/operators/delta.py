@@ -149,20 +149,47 @@ def dchash_candidates(target: DataFrame, base: DataFrame) -> DataFrame:
     return t.join(b, ["pair_id", "key"]).drop("key")
 
 
+def spans(cells: DataFrame) -> DataFrame:
+    """(pair_id, row, span, start, length, comps): maximal stretches of neighbouring cells of a row with the same blocks, numbered in the row."""
+    w = Window.partitionBy("pair_id", "row").orderBy("col")
+    same = (F.lag("comps").over(w) == F.col("comps")) & (F.lag("col").over(w) == F.col("col") - 1)
+    marked = cells.select("pair_id", "row", "col", "comps", (~F.coalesce(same, F.lit(False))).cast("int").alias("new")).withColumn("span", F.sum("new").over(w))
+    return marked.groupBy("pair_id", "row", "span").agg(F.min("col").alias("start"), F.count("*").cast("int").alias("length"), F.first("comps").alias("comps"))
+
+
 def longest_matches(target: DataFrame, base: DataFrame) -> DataFrame:
     """(pair_id, t_row, t_col, b_row, b_col, length): for each target cell the base place from which the longest run of equal cells follows, strictly; ties go to the first in row-major order.
 
-    Equal cells are an equi-join on the blocks; a run is an island on a diagonal of (target row, base row).
+    Neighbouring equal cells of a row are one span, and spans of equal blocks are an equi-join: two blank grids of n
+    rows meet in n * n spans, not in all pairs of their cells. Of target and base spans that end together, the match goes on
+    into the next two; from a target cell with k cells of its span left, a base span of k or more cells is entered k
+    before its end if the match goes on from there, else at its start. Base spans that serve a target span alike
+    are reduced to the first. Textures of single cells still meet cell by cell.
     """
-    t = target.select("pair_id", F.col("row").alias("t_row"), F.col("col").alias("t_col"), "comps")
-    b = base.select("pair_id", F.col("row").alias("b_row"), F.col("col").alias("b_col"), "comps")
-    hits = t.join(b, ["pair_id", "comps"]).drop("comps").withColumn("diagonal", F.col("b_col") - F.col("t_col"))
-    line = ["pair_id", "t_row", "b_row", "diagonal"]
-    hits = hits.withColumn("island", F.col("t_col") - F.row_number().over(Window.partitionBy(*line).orderBy("t_col")))
-    run = Window.partitionBy(*line, "island")
-    hits = hits.withColumn("length", F.max("t_col").over(run) - F.col("t_col") + 1)
-    best = F.min(F.struct((-F.col("length")).alias("l"), F.col("b_row"), F.col("b_col"))).alias("x")
-    return hits.groupBy("pair_id", "t_row", "t_col").agg(best).select("pair_id", "t_row", "t_col", "x.b_row", "x.b_col", (-F.col("x.l")).cast("int").alias("length"))
+    t, b = spans(target), spans(base)
+    t = t.select("pair_id", "comps", F.col("row").alias("t_row"), F.col("span").alias("t_span"), F.col("start").alias("t_start"), F.col("length").alias("t_length"))
+    b = b.select("pair_id", "comps", F.col("row").alias("b_row"), F.col("span").alias("b_span"), F.col("start").alias("b_start"), F.col("length").alias("b_length"))
+    # all that follows is of one target row: partitioned once
+    hits = t.join(b, ["pair_id", "comps"]).drop("comps").repartition("pair_id", "t_row").withColumn("diagonal", F.col("b_span") - F.col("t_span"))
+    line = Window.partitionBy("pair_id", "t_row", "b_row", "diagonal")
+    w = line.orderBy("t_span")
+    meets = lambda x, y: (y("t_start") == x("t_start") + x("t_length")) & (y("b_start") == x("b_start") + x("b_length"))
+    lag, lead = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
+    goes_on = meets(lag, F.col) & (lag("t_length") == lag("b_length"))
+    hits = hits.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("next", F.coalesce(meets(F.col, lead), F.lit(False)))
+    hits = hits.withColumn("chain", F.sum("new").over(w))
+    rest = Window.partitionBy("pair_id", "t_row", "b_row", "diagonal", "chain").orderBy(F.desc("t_span"))
+    hits = hits.withColumn("reach", F.sum(F.least("t_length", "b_length")).over(rest))
+    hits = hits.withColumn("after", F.when(F.col("next"), F.lead("reach").over(w)).otherwise(0))
+    first = F.min(F.struct("b_row", "b_start")).alias("x")
+    hits = hits.groupBy("pair_id", "t_row", "t_start", "t_length", "b_length", "after").agg(first).select("*", "x.*")
+    k, long = F.col("k"), F.col("b_length") >= F.col("k")
+    cells = hits.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("t_length"))))
+    length = F.when(long, k + F.col("after")).otherwise(F.col("b_length"))
+    place = F.col("b_start") + F.when(long & (F.col("after") > 0), F.col("b_length") - k).otherwise(0)
+    cells = cells.select("pair_id", "t_row", (F.col("t_start") + F.col("t_length") - k).alias("t_col"), length.alias("length"), "b_row", place.cast("int").alias("b_col"))
+    best = F.min(F.struct((-F.col("length")).alias("l"), "b_row", "b_col")).alias("x")
+    return cells.groupBy("pair_id", "t_row", "t_col").agg(best).select("pair_id", "t_row", "t_col", "x.b_row", "x.b_col", (-F.col("x.l")).cast("int").alias("length"))
 
 
 def dchash_instructions(target: DataFrame, base: DataFrame, min_copy: int = 1) -> DataFrame:

@@ -46,6 +46,30 @@ def test_tolerant_encoder_over_several_stripes(spark):
     assert got == want and {len(x) for x in got} == {2, 5}
 
 
+def test_longest_matches_by_brute_force(spark):
+    """Grids of few different blocks, so that spans, ties and matches over several spans abound; one with cells left out."""
+    rng = np.random.default_rng(8)
+    some = rng.integers(-300, 300, (2, 1, 64)).astype(np.int16)
+    for n, (shares, hole) in enumerate([((0.5, 0.5), 0), ((0.9, 0.1), 0), ((1.0, 0.0), 0), ((0.7, 0.3), 1)]):
+        t, b = (rng.choice(2, (6, 9), p=shares) for _ in range(2))
+        keep = lambda df: df.filter("not (row % 3 = 1 and col = 4)") if hole else df  # noqa: B023, E731
+        gone = lambda r, c: hole and r % 3 == 1 and c == 4  # noqa: B023, E731
+
+        def length(r, c, y, x, t=t, b=b, gone=gone):
+            k = 0
+            while c + k < 9 and x + k < 9 and not gone(r, c + k) and not gone(y, x + k) and t[r, c + k] == b[y, x + k]:
+                k += 1
+            return k
+
+        want = {}
+        for r, c in np.ndindex(6, 9):
+            found = [(-length(r, c, y, x), y, x) for y, x in np.ndindex(6, 9) if length(r, c, y, x)]
+            if found:
+                want[r, c] = (min(found)[1], min(found)[2], -min(found)[0])
+        got = delta.longest_matches(keep(cells(spark, some[t])), keep(cells(spark, some[b]))).collect()
+        assert {(x.t_row, x.t_col): (x.b_row, x.b_col, x.length) for x in got} == want, n
+
+
 def test_random_grids_replay(spark):
     rng = np.random.default_rng(3)
     some = rng.integers(-300, 300, (3, 2, 64)).astype(np.int16)
