@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import ranked
@@ -12,16 +12,10 @@ SKETCH = 10
 HEAD_BYTES, COPY_BYTES, INSERT_BYTES = 52, 12, 6
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line)."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-
-
 def sketches(docs: DataFrame) -> DataFrame:
-    """(image_id, transform_index, hash): the SKETCH smallest MD5 of a document's distinct lines, in their order."""
+    """(image_id, sketch): the SKETCH smallest MD5 of a document's distinct lines, in their order."""
     md5s = F.transform(F.filter(F.array_distinct(F.split("text", "\n")), lambda x: x != ""), lambda x: F.md5(x))
-    # within the row: no shuffle
-    return docs.select(F.col("doc_id").cast("string").alias("image_id"), F.posexplode(F.slice(F.array_sort(md5s), 1, SKETCH)).alias("transform_index", "hash"))
+    return docs.select(F.col("doc_id").cast("string").alias("image_id"), F.slice(F.array_sort(md5s), 1, SKETCH).alias("sketch"))
 
 
 def items(docs: DataFrame) -> DataFrame:
@@ -30,20 +24,24 @@ def items(docs: DataFrame) -> DataFrame:
     return ranked(own, "doc_id").select(F.col("doc_id").cast("string").alias("image_id"), "rank", "size", "failed")
 
 
-def line_deltas(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(target_id, base_id, success, compressed_size) of pairs (target_id, base_id) by fixed-position line runs.
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, lines): digest and bytes of each line of the documents with text."""
+    own = F.transform(F.split("text", "\n"), lambda x: F.struct(F.unhex(F.sha2(x, 256)).alias("digest"), F.octet_length(x).alias("n")))
+    return docs.filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), own.alias("lines"))
+
+
+def line_deltas(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(target_id, base_id, success, compressed_size) of pairs (target_id, base_id) by fixed-position line runs of ``lines``.
 
     Runs of equal lines at equal positions cost COPY_BYTES, other lines INSERT_BYTES and themselves.
     """
-    own = lines(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
     pairs = pairs.select("target_id", "base_id").distinct()
-    t = pairs.join(own.select(F.col("doc_id").alias("target_id"), "pos", "line"), "target_id")
-    both = t.join(own.select(F.col("doc_id").alias("base_id"), "pos", F.col("line").alias("b_line")), ["base_id", "pos"], "left")
-    eq = both.select("target_id", "base_id", "pos", "line", F.coalesce(F.col("line") == F.col("b_line"), F.lit(False)).alias("eq"))
-    before = F.lag("eq").over(Window.partitionBy("target_id", "base_id").orderBy("pos"))
-    cost = F.when(F.col("eq"), F.when(F.coalesce(before, F.lit(False)), 0).otherwise(COPY_BYTES)).otherwise(F.octet_length("line") + INSERT_BYTES)
-    sums = eq.withColumn("cost", cost.cast("long")).groupBy("target_id", "base_id").agg(F.sum("cost").alias("cost"))
-    return sums.select("target_id", "base_id", F.lit(True).alias("success"), (F.col("cost") + HEAD_BYTES + F.octet_length("base_id")).cast("long").alias("compressed_size"))
+    both = pairs.join(lines.select(F.col("doc_id").alias("target_id"), F.col("lines").alias("t")), "target_id")
+    both = both.join(lines.select(F.col("doc_id").alias("base_id"), F.col("lines").alias("b")), "base_id", "left")
+    eq = lambda i: F.coalesce(F.get("t", i)["digest"] == F.get("b", i)["digest"], F.lit(False))
+    cost = lambda x, i: F.when(eq(i), F.when(eq(i - 1), 0).otherwise(COPY_BYTES)).otherwise(x["n"] + INSERT_BYTES).cast("long")
+    total = F.aggregate(F.transform("t", cost), F.lit(0).cast("long"), lambda s, c: s + c)
+    return both.select("target_id", "base_id", F.lit(True).alias("success"), (total + HEAD_BYTES + F.octet_length("base_id")).cast("long").alias("compressed_size"))
 
 
 # ---- the same in DuckDB SQL

@@ -86,12 +86,19 @@ def scan(items: DataFrame, votes: DataFrame, results: DataFrame | Callable[[Data
     matched = waves.union()
     matched = items.sparkSession.createDataFrame([], nothing) if matched is None else matched
     known = items.join(matched, "image_id", "left")
+
+    def seen(known: DataFrame) -> DataFrame:
+        registered = known.filter("status in ('new_base', 'kept_original')").select(F.col("image_id").alias("base_id"))
+        return votes.join(registered, "base_id", "left_semi").groupBy(F.col("target_id").alias("image_id")).agg(F.max("votes").alias("seen"))
+
+    return reported(known, seen)
+
+
+def reported(known: DataFrame, seen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A scan's rows from its items with their matches; ``seen`` gives (image_id, seen), the best vote among registered earlier items, for items without a match."""
     known = known.withColumn("status", F.when(F.col("failed"), "failed").otherwise(F.coalesce("status", F.lit("new_base")))).withColumn("reason", F.when(F.col("failed"), "feature extraction failed").otherwise(F.coalesce("reason", F.lit("no_match"))))
     known = written(known, "statuses")
-    # the best vote among registered earlier items, for items without a match
-    registered = known.filter("status in ('new_base', 'kept_original')").select(F.col("image_id").alias("base_id"))
-    seen = votes.join(registered, "base_id", "left_semi").groupBy(F.col("target_id").alias("image_id")).agg(F.max("votes").alias("seen"))
-    out = known.join(seen, "image_id", "left")
+    out = known.join(seen(known), "image_id", "left")
     seen_votes = F.when(F.col("reason") == "no_match", F.coalesce("seen", F.lit(0))).otherwise(F.coalesce("votes", F.lit(0)))
     return out.select("image_id", "rank", "status", "reason", F.coalesce("base", F.lit("")).alias("base"), seen_votes.cast("long").alias("votes"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.col("size").alias("original_size"), F.coalesce("compressed_size", "size").alias("compressed_size"))
 

@@ -9,7 +9,7 @@ from ..operators import delta
 from ..operators.ordering import ranked, running_sums
 from ..scratch import written
 from ..sources import logs, package, text
-from . import documents, greedy, grids, rollup, verify
+from . import documents, greedy, grids, rollup, sketch_scan, verify
 from .grids import CELLS, PAIRS, load
 from .queries import ACCOUNTED, ROUTED, query, routed
 
@@ -96,9 +96,8 @@ def fnv1a64_bytes(spark, sf_dir):
 def scanned_documents(spark, sf_dir) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     items = written(documents.items(docs), "items")
-    votes = written(greedy.ordered_votes(documents.sketches(docs), items), "votes")
-    results = written(documents.line_deltas(votes.filter(F.col("votes") >= greedy.THRESHOLD), docs), "results")
-    return written(greedy.scan(items, votes, results), "scanned")
+    lines = written(documents.lines(docs), "lines")
+    return written(sketch_scan.scan(items, documents.sketches(docs), lambda pairs: documents.line_deltas(pairs, lines)), "scanned")
 
 
 @query("greedy_scan_status", f"with recursive {documents.SCAN} select * from scanned")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from blockweave import api, cli
 from blockweave.functions import u64
 from blockweave.operators import components, delta, features, ordering
-from blockweave.plans import greedy, images, rollup, verify
+from blockweave.plans import documents, greedy, images, rollup, scan_queries, sketch_scan, verify
 from blockweave.sources import archive, jpeg, logs, package, text
 from blockweave.streaming import scan as stream
 from test_codecs import shifted, sparse
@@ -226,6 +226,48 @@ def test_a_chain_of_waves_asks_for_one_pair_an_item(spark):
     assert len(tried) == len(set(tried)) and set(asked) < set(votes)
 
 
+@pytest.mark.parametrize("threshold", [2, 3])
+def test_scan_by_sketches_is_the_sequential_scan(spark, threshold):
+    rng = np.random.default_rng(threshold)
+    made = []
+    for i in range(150):  # single lines of many items, near and equal sketches, own lines
+        if made and rng.random() < 0.4:
+            own = [x for x in made[int(rng.integers(len(made)))] if rng.random() < rng.choice([0.8, 1.0])]
+        else:
+            own = [f"h{x}" for x in rng.choice(25, int(rng.integers(0, 6)), replace=False)]
+        made.append(own + [f"own{i}"] * bool(rng.random() < 0.3))
+    items = [(f"f{i:03}", i, 1000, bool(i % 17 == 3)) for i in range(len(made))]
+    place = [{x: k for k, x in enumerate(own)} for own in made]
+    votes, results = {}, {}
+    for t in range(len(made)):
+        for b in range(t):
+            both = set(place[t]) & set(place[b])
+            if both and t % 17 != 3 and b % 17 != 3:
+                votes[f"f{t:03}", f"f{b:03}"] = (len(both), min(place[t][x] for x in both))
+                if rng.random() < 0.9:
+                    results[f"f{t:03}", f"f{b:03}"] = (bool(rng.random() < 0.8), int(rng.choice([500, 960, 2000])))
+    table = spark.createDataFrame([(*k, *v) for k, v in results.items()], "target_id string, base_id string, success boolean, compressed_size long")
+    got = sketch_scan.scan(
+        spark.createDataFrame(items, "image_id string, rank long, size long, failed boolean"),
+        spark.createDataFrame([(f"f{i:03}", own) for i, own in enumerate(made)], "image_id string, sketch array<string>"),
+        lambda pairs: pairs.join(table, ["target_id", "base_id"]),
+        threshold,
+    ).collect()
+    assert {r.image_id: (r.status, r.base, r.votes) for r in got} == sequential(items, votes, results, threshold)
+
+
+def test_the_documents_scan_asks_for_few_pairs_an_item(spark, tmp_path, monkeypatch):
+    """Documents that all share two lines are no pair each with each."""
+    n, asked = 120, []
+    rows = [(i, f"first line of all\nsecond line of all\nown {i}") for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = documents.line_deltas
+    monkeypatch.setattr(documents, "line_deltas", lambda pairs, docs: (asked.append(pairs.count()), whole(pairs, docs))[1])
+    got = {r.image_id: (r.status, r.base, r.votes) for r in scan_queries.scanned_documents(spark, str(tmp_path)).collect()}
+    assert got == {str(i): ("kept_original", "0", 2) if i else ("new_base", "", 0) for i in range(n)}
+    assert sum(asked) <= 2 * n
+
+
 def test_decisions(spark):
     rows = [(100, None, None), (100, True, 50), (105, True, 100), (100, False, 0), (100, True, 200), (100, True, 0), (100, True, 100)]
     df = spark.createDataFrame(rows, "o long, s boolean, c long")
