@@ -721,6 +721,20 @@ def test_every_exact_repeat_of_real_documents_is_found(spark):
     assert want and want <= got
 
 
+@pytest.mark.parametrize("holders", [1, 20])
+def test_near_passages_whose_seeds_begin_elsewhere(spark, holders):
+    """Pieces of a passage stand in earlier documents, ``holders`` each; the two that hold it with differences are found."""
+    r = random.Random(holders)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(120)
+    other = [w if j % 30 != 29 else "x" + w for j, w in enumerate(passage)]
+    pieces = [(a, a + 30) for a in range(0, 120, 15)]
+    rows = [(i, fresh(30) + passage[a:b] + fresh(30)) for i, (a, b) in enumerate(pieces * holders)]
+    rows += [(1000, fresh(20) + passage + fresh(30)), (1001, fresh(40) + other + fresh(20))]
+    got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert [(x.doc_id, x.other_id) for x in got] == [(1001, 1000)] and got[0].matched >= 110
+
+
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15])
 def test_recall_of_edited_passages(spark, share):
     """Passages of 70 to 200 words with words replaced, put in or left out at random: one row each, nearly all found."""
