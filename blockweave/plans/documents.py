@@ -6,36 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import ranked
+from ..scratch import written
 
 #: Lines of a document's sketch: those of the smallest MD5.
 SKETCH = 10
+#: So many pairs count as few: their ids are broadcast.
+FEW = 50000
 HEAD_BYTES, COPY_BYTES, INSERT_BYTES = 52, 12, 6
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(image_id, sketch): the SKETCH smallest MD5 of a document's distinct lines, in their order."""
-    md5s = F.transform(F.filter(F.array_distinct(F.split("text", "\n")), lambda x: x != ""), lambda x: F.md5(x))
-    return docs.select(F.col("doc_id").cast("string").alias("image_id"), F.slice(F.array_sort(md5s), 1, SKETCH).alias("sketch"))
+def parsed(docs: DataFrame) -> DataFrame:
+    """(image_id, doc_id, size, failed, sketch, lines): all that a scan needs of the documents' texts, which it reads once.
+
+    sketch: the SKETCH smallest MD5 of a document's distinct lines, in their order. lines: digest and bytes of each line.
+    """
+    own = docs.select("doc_id", "text", F.split("text", "\n").alias("l"))
+    md5s = F.transform(F.filter(F.array_distinct("l"), lambda x: x != ""), lambda x: F.md5(x))
+    lines = F.transform("l", lambda x: F.struct(F.unhex(F.sha2(x, 256)).alias("digest"), F.octet_length(x).alias("n")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return own.select(F.col("doc_id").cast("string").alias("image_id"), "doc_id", size.alias("size"), F.coalesce(F.col("text") == "", F.lit(True)).alias("failed"), F.slice(F.array_sort(md5s), 1, SKETCH).alias("sketch"), lines.alias("lines"))
 
 
-def items(docs: DataFrame) -> DataFrame:
+def items(parsed: DataFrame) -> DataFrame:
     """(image_id, rank, size, failed): documents in id order; those without text fail."""
-    own = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), F.coalesce(F.col("text") == "", F.lit(True)).alias("failed"))
-    return ranked(own, "doc_id").select(F.col("doc_id").cast("string").alias("image_id"), "rank", "size", "failed")
+    return ranked(parsed.select("doc_id", "image_id", "size", "failed"), "doc_id").select("image_id", "rank", "size", "failed")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines): digest and bytes of each line of the documents with text."""
-    own = F.transform(F.split("text", "\n"), lambda x: F.struct(F.unhex(F.sha2(x, 256)).alias("digest"), F.octet_length(x).alias("n")))
-    return docs.filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), own.alias("lines"))
+def lines(parsed: DataFrame) -> DataFrame:
+    """(doc_id, lines) of the documents with text."""
+    return parsed.filter("lines is not null").select(F.col("image_id").alias("doc_id"), "lines")
 
 
 def line_deltas(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(target_id, base_id, success, compressed_size) of pairs (target_id, base_id) by fixed-position line runs of ``lines``.
 
-    Runs of equal lines at equal positions cost COPY_BYTES, other lines INSERT_BYTES and themselves.
+    Runs of equal lines at equal positions cost COPY_BYTES, other lines INSERT_BYTES and themselves. ``pairs`` should be
+    a written table: it is counted first, and for few pairs the lines of their documents are picked out in one pass.
     """
     pairs = pairs.select("target_id", "base_id").distinct()
+    if pairs.limit(FEW + 1).count() <= FEW:
+        ids = pairs.select(F.col("target_id").alias("doc_id")).union(pairs.select("base_id")).distinct()
+        lines = written(lines.join(F.broadcast(ids), "doc_id", "left_semi"), "picked")
     both = pairs.join(lines.select(F.col("doc_id").alias("target_id"), F.col("lines").alias("t")), "target_id")
     both = both.join(lines.select(F.col("doc_id").alias("base_id"), F.col("lines").alias("b")), "base_id", "left")
     eq = lambda i: F.coalesce(F.get("t", i)["digest"] == F.get("b", i)["digest"], F.lit(False))

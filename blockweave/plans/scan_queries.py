@@ -94,10 +94,9 @@ def fnv1a64_bytes(spark, sf_dir):
 # ---- the scan over documents
 
 def scanned_documents(spark, sf_dir) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    items = written(documents.items(docs), "items")
-    lines = written(documents.lines(docs), "lines")
-    return written(sketch_scan.scan(items, documents.sketches(docs), lambda pairs: documents.line_deltas(pairs, lines)), "scanned")
+    docs = written(documents.parsed(load(spark, sf_dir, "documents").select("doc_id", "text")), "parsed")
+    lines = documents.lines(docs)
+    return sketch_scan.scan(documents.items(docs), docs.select("image_id", "sketch"), lambda pairs: documents.line_deltas(pairs, lines))
 
 
 @query("greedy_scan_status", f"with recursive {documents.SCAN} select * from scanned")
@@ -113,7 +112,7 @@ def greedy_scan_status(spark, sf_dir):
 )
 def scan_manifest(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    return greedy.manifest(scanned_documents(spark, sf_dir), docs)
+    return greedy.manifest(written(scanned_documents(spark, sf_dir), "scanned"), docs)
 
 
 STATS = """sum(1) over w as processed_images, sum((status in ('new_base', 'kept_original'))::int) over w as base_images, sum((status = 'deduped')::int) over w as deduped_images,
@@ -130,7 +129,7 @@ STATS = """sum(1) over w as processed_images, sum((status in ('new_base', 'kept_
         greatest(0.0::double, processed_original_size::double - dedup_total_size::double) / 1048576.0::double as saved_mb from s""",
 )
 def running_scan_stats(spark, sf_dir):
-    return greedy.running_stats(scanned_documents(spark, sf_dir))
+    return greedy.running_stats(written(scanned_documents(spark, sf_dir), "scanned"))
 
 
 @query("running_event_stats", "select event_id, (sum(value) over (order by event_id))::bigint as value_so_far, count(*) over (order by event_id) as events_so_far from (select event_id, floor(coalesce(value, 0))::bigint as value from events)")

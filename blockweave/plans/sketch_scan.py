@@ -9,7 +9,8 @@ and the target takes the largest S that has one, so work grows with the items an
 3. It is supposed which items are deduped (at first: none). Every closed set's first base follows, from it each
    item's best base, its result and whether it is deduped: the next supposition. It stays the same only for the
    scan's own result, as an item depends on earlier ones alone; every round sets right at least the items whose
-   candidates are right, and copies of a deduped item all at once. A pair's result is asked for once.
+   candidates are right, and copies of a deduped item all at once. A result is asked for where an item's best base
+   changed. Rounds are many short jobs, so a round writes no more tables than its joins need to be split by.
 """
 
 from __future__ import annotations
@@ -18,124 +19,149 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Pile, dropped, written
+from ..scratch import dropped, written
 from .greedy import MIN_RATIO, THRESHOLD, outcome, reported
 
 #: Features an item may have: it has up to 2 to the power of this many subsets.
 MOST = 16
 
 
+#: Cells of a working array, in which a class of n features has 2 to the power of n.
+CELLS = 1 << 20
+
+
+def _pieces(cells: np.ndarray) -> Iterator[slice]:
+    """Runs of rows that have CELLS ``cells`` together at most, or are one row."""
+    past, i = np.cumsum(cells), 0
+    while i < len(cells):
+        j = max(i + 1, int(np.searchsorted(past, CELLS + (past[i - 1] if i else 0), "right")))
+        yield slice(i, j)
+        i = j
+
+
 def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cls, n, a, b), a and b being hashes of the features in order, to (cls, n, size, mask, a, b) of each subset: sums of its hashes."""
     for batch in batches:
-        for cls, n, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(a) > MOST:
-                raise ValueError(f"{len(a)} features of an item, more than {MOST}")
-            if not a:
-                continue
-            sums = np.zeros((2, 1), np.int64)
-            for x in zip(a, b, strict=True):
-                sums = np.hstack([sums, sums + np.array(x, np.int64)[:, None]])  # wraps
-            m = sums.shape[1] - 1
-            yield pa.RecordBatch.from_arrays([pa.array([cls] * m), pa.array(np.full(m, n)), pa.array(np.full(m, len(a))), pa.array(np.arange(1, m + 1)), *(pa.array(s[1:]) for s in sums)], ["cls", "n", "size", "mask", "a", "b"])
-
-
-def _merged(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``rows`` or a little more."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        sizes = np.diff(batch["a"].offsets.to_numpy())
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            if size > MOST:
+                raise ValueError(f"{size} features of an item, more than {MOST}")
+            alike = np.flatnonzero(sizes == size)
+            for part in _pieces(np.full(len(alike), 1 << size)):
+                own = batch.take(pa.array(alike[part]))
+                sums = []
+                for name in ("a", "b"):
+                    x = own[name].flatten().to_numpy().reshape(-1, size)
+                    s = np.zeros((len(x), 1), np.int64)
+                    for i in range(size):
+                        s = np.hstack([s, s + x[:, i : i + 1]])  # wraps
+                    sums.append(pa.array(s[:, 1:].ravel()))
+                m, rows = (1 << size) - 1, own.num_rows
+                which = pa.array(np.repeat(np.arange(rows), m))
+                yield pa.RecordBatch.from_arrays([own["cls"].take(which), own["n"].take(which), pa.array(np.full(rows * m, size)), pa.array(np.tile(np.arange(1, m + 1), rows)), *sums], ["cls", "n", "size", "mask", "a", "b"])
 
 
 def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cls, size, mask, a, b, held), sorted by cls, to those (cls, votes, first, a, b) that no larger subset of the class is held as often as."""
-
-    def of(own: pa.Table) -> pa.RecordBatch:
-        size, (mask, held) = own["size"][0].as_py(), (own[c].to_numpy() for c in ("mask", "held"))
-        often = np.zeros(1 << size, np.int64)
-        often[mask] = held
-        keep = np.ones(len(mask), bool)
-        for i in range(size):
-            larger = mask | (1 << i)
-            keep &= (larger == mask) | (often[larger] != held)
-        out, mask = own.filter(pa.array(keep)), mask[keep]
-        bits = (mask[:, None] >> np.arange(size)) & 1
-        return pa.RecordBatch.from_arrays([out["cls"].combine_chunks(), pa.array(bits.sum(axis=1)), pa.array(bits.argmax(axis=1)), out["a"].combine_chunks(), out["b"].combine_chunks()], ["cls", "votes", "first", "a", "b"])
+    """Rows (cls, size, mask, held, id), sorted by cls, to those (cls, votes, first, id) that no larger subset of the class is held as often as."""
+
+    def of(own: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size, mask, held = (own[c].to_numpy() for c in ("size", "mask", "held"))
+        ends = np.append(heads[1:], own.num_rows)
+        cells = 1 << size[heads]
+        for part in _pieces(cells):
+            i, j = heads[part][0], ends[part][-1]
+            place = np.repeat(np.cumsum(cells[part]) - cells[part], ends[part] - heads[part])
+            s, m, h = size[i:j], mask[i:j], held[i:j]
+            often = np.zeros(int(cells[part].sum()), np.int64)
+            often[place + m] = h
+            keep = np.ones(len(m), bool)
+            for k in range(int(s.max())):
+                larger = np.where(k < s, m | (1 << k), m)
+                keep &= (larger == m) | (often[place + larger] != h)
+            out, m = own.slice(i, j - i).filter(pa.array(keep)).combine_chunks(), m[keep]
+            bits = (m[:, None] >> np.arange(MOST)) & 1
+            column = lambda c: out[c].combine_chunks()
+            yield pa.RecordBatch.from_arrays([column("cls"), pa.array(bits.sum(axis=1)), pa.array(bits.argmax(axis=1)), column("id")], ["cls", "votes", "first", "id"])
 
     rest = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
-        cls = np.array(rows["cls"].to_pylist())
-        heads = [0, *(np.flatnonzero(cls[1:] != cls[:-1]) + 1).tolist()] if len(cls) else []
-        for i, j in zip(heads, heads[1:]):
-            yield of(rows.slice(i, j - i))
-        rest = rows.slice(heads[-1]) if heads else None
+        if not rows.num_rows:
+            continue
+        cls = rows["cls"].combine_chunks()
+        heads = np.append(0, np.flatnonzero(pc.not_equal(cls[1:], cls[:-1]).to_numpy(zero_copy_only=False)) + 1)
+        if len(heads) > 1:
+            yield from of(rows.slice(0, heads[-1]), heads[:-1])
+        rest = rows.slice(heads[-1])
     if rest is not None and rest.num_rows:
-        yield of(rest)
+        yield from of(rest, np.array([0]))
 
 
-def _named(lists: str) -> Column:
-    """One string for a list of feature hashes."""
-    part = lambda k: F.array_join(F.col(f"{lists}.{k}").cast("array<string>"), ",")
-    return F.md5(F.concat(part("a"), F.lit(";"), part("b")))
+def _named(value: str) -> list[Column]:
+    """Two hashes that name a list of feature hashes."""
+    return [F.xxhash64(value), F.xxhash64(F.lit(1), value)]
 
 
 def members_of(items: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rank, cls) of the items that share a feature, and (cls, n, whole, a, b) of the classes: members, hashes of their shared features in order.
 
     Shared are features of several sketches. Several items of one sketch that holds other features, too, are a class
-    of their own; ``whole`` is then the sketch's size.
+    of their own; ``whole`` is then the sketch's size. Classes are numbered: rounds join them often.
     """
     hashes = F.transform("sketch", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     own = sketches.filter(F.size("sketch") > 0).join(items.filter("not failed").select("image_id", "rank"), "image_id").select("rank", hashes.alias("s"))
-    own = written(own.select("rank", _named("s").alias("sketch"), "s"), "sketches")
-    equal = written(own.groupBy("sketch", "s").agg(F.count("*").alias("n")), "equal")
-    places = equal.select("sketch", F.posexplode("s").alias("pos", "x")).select("sketch", "pos", "x.a", "x.b")
+    key = ["k", "l"]
+    own = written(own.select("rank", *[c.alias(k) for c, k in zip(_named("s"), key, strict=True)], "s"), "sketches")
+    equal = written(own.groupBy(*key, "s").agg(F.count("*").alias("n")), "equal")
+    places = equal.select(*key, F.posexplode("s").alias("pos", "x")).select(*key, "pos", "x.a", "x.b")
     common = written(places.groupBy("a", "b").agg(F.count("*").alias("k")).filter("k > 1").select("a", "b"), "common")
-    shared = places.join(common, ["a", "b"], "left_semi").groupBy("sketch").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b"))).alias("x"))
-    known = equal.select("sketch", "n", F.size("s").cast("long").alias("size")).join(written(shared, "shared"), "sketch", "left")
-    whole = (F.col("n") > 1) & (F.col("size") > F.coalesce(F.size("x"), F.lit(0)))
-    named = known.select("sketch", "n", F.when(whole, F.col("size")).alias("whole"), F.when(whole, F.col("sketch")).otherwise(_named("x")).alias("cls"), F.coalesce("x.a", F.array().cast("array<long>")).alias("a"), F.coalesce("x.b", F.array().cast("array<long>")).alias("b"))
-    named = written(named.filter("cls is not null"), "named")
-    classes = written(named.groupBy("cls", "whole", "a", "b").agg(F.sum("n").alias("n")).select("cls", "n", "whole", "a", "b"), "classes")
-    members = written(own.select("rank", "sketch").join(named.select("sketch", "cls"), "sketch").select("rank", "cls"), "members")
+    shared = places.join(common, ["a", "b"], "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b"))).alias("x"))
+    known = equal.select(*key, "n", F.size("s").cast("long").alias("size")).join(shared, key, "left")  # a row a sketch
+    known = known.select(*key, "n", "size", F.coalesce("x.a", F.array().cast("array<long>")).alias("a"), F.coalesce("x.b", F.array().cast("array<long>")).alias("b"))
+    known = known.withColumn("whole", F.when((F.col("n") > 1) & (F.col("size") > F.size("a")), F.col("size"))).withColumn("x", F.struct("a", "b"))
+    alike = [F.when(F.col("whole").isNotNull(), F.col(k)).otherwise(c).alias(f"{k}_cls") for c, k in zip(_named("x"), key, strict=True)]
+    named = written(known.filter("whole is not null or size(a) > 0").select(*key, "n", "whole", *alike, "a", "b"), "named")
+    cls = [f"{k}_cls" for k in key]
+    classes = written(named.groupBy(*cls, "whole", "a", "b").agg(F.sum("n").alias("n")).select(*cls, F.monotonically_increasing_id().alias("cls"), "n", "whole", "a", "b"), "classes")
+    # a class of a whole sketch and one of shared features have other names, but for chance: ``whole`` tells them apart
+    which = F.coalesce("whole", F.lit(0)).alias("w")
+    names = named.select(*key, *cls, which).join(classes.select(*cls, which, "cls"), [*cls, "w"]).select(*key, "cls")
+    members = written(own.select("rank", *key).join(names, key).select("rank", "cls"), "members")
     dropped(own, equal, common, named)
     return members, classes
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as run at once: a table of few bytes may make much work."""
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def closed_sets(classes: DataFrame) -> DataFrame:
-    """(cls, votes, first, a, b): the closed subsets of the classes that two items hold; votes: features; first: the place of the first one."""
-    kinds = "cls string, n long, size long, mask long, a long, b long"
+    """(cls, votes, first, id): the closed subsets of the classes that two items hold; votes: features; first: the place of the first one."""
+    kinds = "cls long, n long, size long, mask long, a long, b long"
     alone = classes.select("cls", F.when(F.col("whole").isNull(), F.col("n")).otherwise(0).alias("n"), "a", "b")
-    sets = written(alone.mapInArrow(lambda x: _merged(_subsets(x)), kinds), "subsets")
-    held = written(sets.groupBy("a", "b").agg(F.count("*").alias("held")).filter("held > 1"), "held")
-    # a class's whole set is closed; it is shared if the class has two members, too
-    zero, place = F.lit(0).cast("long"), F.expr("shiftleft(1L, int(size)) - 1")
-    alone = sets.filter((F.col("mask") == place) & (F.col("n") > 1)).join(held, ["a", "b"], "left_anti").select("cls", F.col("size").alias("votes"), zero.alias("first"), "a", "b")
-    alone = alone.unionByName(classes.filter("whole is not null").select("cls", F.col("whole").alias("votes"), zero.alias("first"), F.xxhash64("cls").alias("a"), F.xxhash64(F.lit(1), "cls").alias("b")))
-    both = sets.join(held, ["a", "b"]).select("cls", "size", "mask", "a", "b", "held").repartition("cls").sortWithinPartitions("cls")
-    out = written(both.mapInArrow(lambda x: _merged(_closed(x)), "cls string, votes long, first long, a long, b long").unionByName(alone), "closed")
+    sets = written(alone.repartition(_tasks(classes)).mapInArrow(_subsets, kinds), "subsets")
+    held = written(sets.groupBy("a", "b").agg(F.count("*").alias("held")).filter("held > 1").select("a", "b", "held", F.monotonically_increasing_id().alias("id")), "held")
+    # a class's whole set is closed; it is shared if the class has two members, too. Its id is the class's, below 0
+    zero, place, own = F.lit(0).cast("long").alias("first"), F.expr("shiftleft(1L, int(size)) - 1"), (-1 - F.col("cls")).alias("id")
+    alone = sets.filter((F.col("mask") == place) & (F.col("n") > 1)).join(held, ["a", "b"], "left_anti").select("cls", F.col("size").alias("votes"), zero, own)
+    alone = alone.unionByName(classes.filter("whole is not null").select("cls", F.col("whole").alias("votes"), zero, own))
+    both = sets.join(held, ["a", "b"]).select("cls", "size", "mask", "held", "id").repartition(_tasks(classes), "cls").sortWithinPartitions("cls")
+    out = written(both.mapInArrow(_closed, "cls long, votes long, first long, id long").unionByName(alone), "closed")
     dropped(sets, held)
     return out
 
 
 def _firsts(sets: DataFrame, bases: DataFrame) -> DataFrame:
-    """(cls, votes, first, base): the first of ``bases`` (rank, cls) that holds a set of a class, by its size and place."""
-    heads = written(bases.groupBy("cls").agg(F.min("rank").alias("base")), "heads")
-    least = written(sets.join(heads, "cls").groupBy("a", "b").agg(F.min("base").alias("base")), "least")
-    out = written(sets.join(least, ["a", "b"]).groupBy("cls", "votes", "first").agg(F.min("base").alias("base")), "firsts")
-    dropped(heads, least)
-    return out
+    """(cls, votes, first, base), dealt out by cls: the first of ``bases`` (rank, cls) that holds a set of a class, by its size and place."""
+    heads = bases.groupBy("cls").agg(F.min("rank").alias("base"))  # not written: a class has at most 2 ** MOST sets
+    least = written(sets.join(heads, "cls").groupBy("id").agg(F.min("base").alias("base")), "least")
+    return sets.join(least, "id").select("cls", "votes", "first", "base").repartition("cls").groupBy("cls", "votes", "first").agg(F.min("base").alias("base"))
 
 
 def scan(items: DataFrame, sketches: DataFrame, results: Callable[[DataFrame], DataFrame], threshold: int = THRESHOLD, min_ratio: float = MIN_RATIO, force: bool = False) -> DataFrame:
@@ -148,34 +174,36 @@ def scan(items: DataFrame, sketches: DataFrame, results: Callable[[DataFrame], D
     members, classes = members_of(items, sketches)
     sets = closed_sets(classes)
     dropped(classes)
-    large = written(sets.filter(F.col("votes") >= threshold), "large")
-    targets = written(members.join(large.select("cls").distinct(), "cls", "left_semi").join(items.select("image_id", "rank", "size"), "rank"), "targets")
-    asked, state = Pile("results"), None
+    large = sets.filter(F.col("votes") >= threshold)
+    none = {"base_rank": "long", "votes": "long", "success": "boolean", "compressed_size": "long", "deduped": "boolean", "moved": "boolean"}
+    state = members.join(large.select("cls").distinct(), "cls", "left_semi").join(items.select("rank", "size"), "rank")
+    state = written(state.select("rank", "cls", "size", *[F.lit(None).cast(t).alias(k) for k, t in none.items()]).fillna(False, ["deduped"]), "state")
+    names = lambda rank, name: items.select(F.col("rank").alias(rank), F.col("image_id").alias(name))
+    result = outcome(F.col("size"), F.col("success"), F.col("compressed_size"), min_ratio, force)
     while True:
-        bases = targets if state is None else targets.join(state.filter("status = 'deduped'").select("rank"), "rank", "left_anti")
-        firsts = _firsts(large, bases)
-        lists = written(firsts.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "first", "base"))).alias("x")), "choices")
+        firsts = _firsts(large, state.filter("not deduped"))
+        choices = written(firsts.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "first", "base"))).alias("x")), "choices")
         best = F.get(F.filter("x", lambda c: c["base"] < F.col("rank")), F.lit(0))
-        best = targets.join(lists, "cls").select("rank", "image_id", "size", best.alias("x")).filter("x is not null").select("rank", F.col("image_id").alias("target_id"), "size", F.col("x.base").alias("base_rank"), (-F.col("x.v")).alias("votes"))
-        best = written(best.join(items.select(F.col("rank").alias("base_rank"), F.col("image_id").alias("base_id")), "base_rank"), "best")
-        pairs, known = best.select("target_id", "base_id"), asked.union()
-        pairs = pairs if known is None else pairs.join(known.select("target_id", "base_id"), ["target_id", "base_id"], "left_anti")
-        asked.add(written(pairs.join(results(pairs).select("target_id", "base_id", "success", "compressed_size"), ["target_id", "base_id"], "left"), "asked"))
-        result = outcome(F.col("size"), F.col("success"), F.col("compressed_size"), min_ratio, force)
-        after = written(best.join(asked.union(), ["target_id", "base_id"]).select("rank", F.col("target_id").alias("image_id"), *[c.alias(k) for k, c in result.items()], F.col("base_id").alias("base"), "votes"), "state")
-        dropped(firsts, lists, best)
-        own = after.filter("status = 'deduped'").select("rank")
-        past = None if state is None else state.filter("status = 'deduped'").select("rank")
-        same = own.isEmpty() if past is None else own.join(past, "rank", "left_anti").isEmpty() and past.join(own, "rank", "left_anti").isEmpty()
-        if state is not None:
-            dropped(state)
+        best = state.join(choices, "cls", "left").withColumn("x", best).withColumn("kept", F.col("base_rank").eqNullSafe(F.col("x.base")))
+        best = written(best.select("rank", "cls", "size", F.col("x.base").alias("base_rank"), (-F.col("x.v")).alias("votes"), "kept", "success", "compressed_size", F.col("deduped").alias("was")), "best")
+        pairs = best.filter("not kept and base_rank is not null").select("rank", "base_rank")
+        pairs = written(pairs.join(names("base_rank", "base_id"), "base_rank").join(names("rank", "target_id"), "rank").drop("base_rank"), "pairs")
+        found = pairs.join(results(pairs.select("target_id", "base_id")).select("target_id", "base_id", "success", "compressed_size"), ["target_id", "base_id"], "left")
+        found = found.select("rank", F.col("success").alias("new_success"), F.col("compressed_size").alias("new_compressed_size"))
+        after = best.join(found, "rank", "left").withColumns({c: F.when(F.col("kept"), F.col(c)).otherwise(F.col(f"new_{c}")) for c in ("success", "compressed_size")})
+        after = after.withColumn("deduped", F.col("base_rank").isNotNull() & (result["status"] == "deduped")).withColumn("moved", F.col("deduped") != F.col("was"))
+        after = written(after.select(*state.columns), "state")
+        dropped(state, choices, best, pairs)
         state = after
-        if same:
+        if state.filter("moved").isEmpty():
             break
+    matched = state.filter("base_rank is not null").join(names("base_rank", "base"), "base_rank").select("rank", *[c.alias(k) for k, c in result.items()], "base", "votes")
     # the best vote among registered earlier items, for items without a match: they share less than the threshold
-    bases = members.join(state.filter("status = 'deduped'").select("rank"), "rank", "left_anti")
-    firsts = _firsts(sets.filter(F.col("votes") < threshold), bases)
-    rest = members.join(state.select("rank"), "rank", "left_anti")
-    seen = rest.join(firsts, "cls").filter(F.col("base") < F.col("rank")).groupBy("rank").agg(F.max("votes").alias("seen"))
-    seen = seen.join(items.select("rank", "image_id"), "rank").select("image_id", "seen")
-    return reported(items.join(state.drop("rank"), "image_id", "left"), lambda known: seen)
+    bases = members.join(state.filter("deduped").select("rank"), "rank", "left_anti")
+    firsts = written(_firsts(sets.filter(F.col("votes") < threshold), bases), "firsts")
+
+    def seen(known: DataFrame) -> DataFrame:
+        rest = members.join(known.filter("reason = 'no_match'").select("rank", "image_id"), "rank")
+        return rest.join(firsts, "cls").filter(F.col("base") < F.col("rank")).groupBy("image_id").agg(F.max("votes").alias("seen"))
+
+    return reported(items.join(matched, "rank", "left"), seen)

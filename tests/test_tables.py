@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from blockweave import api, cli
 from blockweave.functions import u64
 from blockweave.operators import components, delta, features, ordering
-from blockweave.plans import documents, greedy, images, rollup, scan_queries, sketch_scan, verify
+from blockweave.plans import documents, greedy, images, queries, rollup, scan_queries, sketch_scan, verify
 from blockweave.sources import archive, jpeg, logs, package, text
 from blockweave.streaming import scan as stream
 from test_codecs import shifted, sparse
@@ -268,6 +268,34 @@ def test_the_documents_scan_asks_for_few_pairs_an_item(spark, tmp_path, monkeypa
     assert sum(asked) <= 2 * n
 
 
+def test_a_round_of_the_scan_by_sketches_writes_few_tables(spark, monkeypatch):
+    """Rounds are many short jobs: their number is most of the time of a scan."""
+    made, whole = [], sketch_scan.written
+    monkeypatch.setattr(sketch_scan, "written", lambda df, name: (made.append(name), whole(df, name))[1])
+    n = 5  # each item shares two features with the one before
+    items = spark.createDataFrame([(f"f{i}", i, 1000, False) for i in range(n)], "image_id string, rank long, size long, failed boolean")
+    sketches = spark.createDataFrame([(f"f{i}", [f"h{2 * i + k}" for k in range(4)]) for i in range(n)], "image_id string, sketch array<string>")
+    result = [F.lit(True).alias("success"), F.lit(500).cast("long").alias("compressed_size")]
+    got = sketch_scan.scan(items, sketches, lambda pairs: pairs.select("target_id", "base_id", *result)).collect()
+    assert {r.image_id: r.base for r in got} == {"f0": "", "f1": "f0", "f2": "", "f3": "f2", "f4": ""}
+    ends = [i for i, name in enumerate(made) if name == "choices"]
+    assert len(ends) > 2 and all(j - i <= 5 for i, j in zip(ends, ends[1:]))
+
+
+def test_the_documents_scan_reads_texts_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    table = spark.createDataFrame([(i, f"first line of all\nsecond line of all\n{i // 2}") for i in range(30)], "doc_id long, text string")
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(scan_queries, "load", lambda *_: table.withColumn("text", read("text")))
+    assert queries.QUERIES["running_scan_stats"](spark, "").count() == 30
+    assert seen.value == 30
+
+
 def test_decisions(spark):
     rows = [(100, None, None), (100, True, 50), (105, True, 100), (100, False, 0), (100, True, 200), (100, True, 0), (100, True, 100)]
     df = spark.createDataFrame(rows, "o long, s boolean, c long")
