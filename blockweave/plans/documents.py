@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import ranked
@@ -15,8 +15,8 @@ FEW = 50000
 HEAD_BYTES, COPY_BYTES, INSERT_BYTES = 52, 12, 6
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """(image_id, doc_id, size, failed, sketch, lines): all that a scan needs of the documents' texts, which it reads once.
+def parsed(docs: DataFrame, *more: Column) -> DataFrame:
+    """(image_id, doc_id, size, failed, sketch, lines) and ``more``: all that a scan needs of the documents' texts, which it reads once.
 
     sketch: the SKETCH smallest MD5 of a document's distinct lines, in their order. lines: digest and bytes of each line.
     """
@@ -24,7 +24,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     md5s = F.transform(F.filter(F.array_distinct("l"), lambda x: x != ""), lambda x: F.md5(x))
     lines = F.transform("l", lambda x: F.struct(F.unhex(F.sha2(x, 256)).alias("digest"), F.octet_length(x).alias("n")))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return own.select(F.col("doc_id").cast("string").alias("image_id"), "doc_id", size.alias("size"), F.coalesce(F.col("text") == "", F.lit(True)).alias("failed"), F.slice(F.array_sort(md5s), 1, SKETCH).alias("sketch"), lines.alias("lines"))
+    return own.select(F.col("doc_id").cast("string").alias("image_id"), "doc_id", size.alias("size"), F.coalesce(F.col("text") == "", F.lit(True)).alias("failed"), F.slice(F.array_sort(md5s), 1, SKETCH).alias("sketch"), lines.alias("lines"), *more)
 
 
 def items(parsed: DataFrame) -> DataFrame:

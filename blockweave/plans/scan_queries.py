@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import delta
@@ -93,8 +93,13 @@ def fnv1a64_bytes(spark, sf_dir):
 
 # ---- the scan over documents
 
-def scanned_documents(spark, sf_dir) -> DataFrame:
-    docs = written(documents.parsed(load(spark, sf_dir, "documents").select("doc_id", "text")), "parsed")
+def parsed_documents(spark, sf_dir, *more: Column) -> DataFrame:
+    return written(documents.parsed(load(spark, sf_dir, "documents").select("doc_id", "text"), *more), "parsed")
+
+
+def scanned_documents(spark, sf_dir, docs: DataFrame | None = None) -> DataFrame:
+    """The scan of ``docs``, the parsed documents where they are made already."""
+    docs = parsed_documents(spark, sf_dir) if docs is None else docs
     lines = documents.lines(docs)
     return sketch_scan.scan(documents.items(docs), docs.select("image_id", "sketch"), lambda pairs: documents.line_deltas(pairs, lines))
 
@@ -111,8 +116,8 @@ def greedy_scan_status(spark, sf_dir):
     from tries join documents on doc_id::varchar = image_id where status = 'deduped'""",
 )
 def scan_manifest(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    return greedy.manifest(written(scanned_documents(spark, sf_dir), "scanned"), docs)
+    docs = parsed_documents(spark, sf_dir, F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return greedy.manifest(written(scanned_documents(spark, sf_dir, docs), "scanned"), docs.select("image_id", "sha256"))
 
 
 STATS = """sum(1) over w as processed_images, sum((status in ('new_base', 'kept_original'))::int) over w as base_images, sum((status = 'deduped')::int) over w as deduped_images,

@@ -282,9 +282,10 @@ def test_a_round_of_the_scan_by_sketches_writes_few_tables(spark, monkeypatch):
     assert len(ends) > 2 and all(j - i <= 5 for i, j in zip(ends, ends[1:]))
 
 
-def test_the_documents_scan_reads_texts_once(spark, monkeypatch):
+@pytest.mark.parametrize(("query", "rows"), [("running_scan_stats", 30), ("scan_manifest", 15)])
+def test_the_documents_scan_reads_texts_once(spark, monkeypatch, query, rows):
     seen = spark.sparkContext.accumulator(0)
-    table = spark.createDataFrame([(i, f"first line of all\nsecond line of all\n{i // 2}") for i in range(30)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, "\n".join(f"line {k} of the two documents {i // 2}" for k in range(9))) for i in range(30)], "doc_id long, text string")
 
     @F.udf("string")
     def read(text):
@@ -292,7 +293,7 @@ def test_the_documents_scan_reads_texts_once(spark, monkeypatch):
         return text
 
     monkeypatch.setattr(scan_queries, "load", lambda *_: table.withColumn("text", read("text")))
-    assert queries.QUERIES["running_scan_stats"](spark, "").count() == 30
+    assert queries.QUERIES[query](spark, "").count() == rows
     assert seen.value == 30
 
 
